@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm import decontaminate, packing, pii, quality, secret_scan, simhash, token_counts, token_ids, url_filters, warc
 from tokenloom.llm.common import fresh_path, read_table
-from tokenloom.llm.sql import ORACLES
+from tokenloom.llm.sql import oracles
 
 END_ID = 2
 #: A dated block list over hosts and domains of `pages`: (list, domain, action, instant).
@@ -75,7 +75,6 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        "longest",
     )
 
 
@@ -110,4 +109,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return oracles(LIST_ENTRIES)

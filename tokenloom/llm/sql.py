@@ -1,3 +1,92 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express, on the same tables.
 
-ORACLES: dict[str, str] = {}
+Not here: fingerprints need XXH64, token ids, counts and packing the tokenizers' vocabularies, and personal data
+its context scores; tests/llm holds those against brute-force versions.
+"""
+
+from __future__ import annotations
+
+from tokenloom.llm.quality import BARS, BOILERPLATE, ENDS, MAX_LOST, SYMBOLS
+from tokenloom.llm.secret_scan import BASE, RULES
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def url_filters(entries: list[tuple[str, str, str, str]]) -> str:
+    rows = ", ".join(f"({_quoted(a)}, {_quoted(b.lower())}, {_quoted(c)}, TIMESTAMP {_quoted(d)})" for a, b, c, d in entries)
+    return f"""
+WITH last AS (SELECT list_name, domain, ts, max(action) AS action FROM (VALUES {rows}) e(list_name, domain, action, ts) GROUP BY ALL),
+turns AS (SELECT * FROM (SELECT *, lag(action, 1, 'remove') OVER w AS was FROM last WINDOW w AS (PARTITION BY list_name, domain ORDER BY ts)) WHERE action <> was),
+spans AS (SELECT * FROM (SELECT list_name, domain, action, ts AS valid_from, lead(ts) OVER (PARTITION BY list_name, domain ORDER BY ts) AS valid_to FROM turns) WHERE action = 'add'),
+p AS (SELECT page_id, nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '.'), '') AS host,
+  TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST((page_id * 7919) % 8784 AS BIGINT)) AS fetched FROM pages)
+SELECT page_id, host, strftime(fetched, '%Y-%m-%d %H:%M:%S') AS fetched, count(domain) AS n_active,
+  coalesce(string_agg(DISTINCT list_name, ',' ORDER BY list_name), '') AS active_lists, count(domain) > 0 AS blocked
+FROM p LEFT JOIN spans ON (host = domain OR ends_with(host, '.' || domain)) AND valid_from <= fetched AND (valid_to IS NULL OR fetched < valid_to)
+GROUP BY page_id, host, fetched"""
+
+
+WARC = """
+WITH b AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages),
+d AS (SELECT page_id, octet_length(p) AS n, sha1(p) AS h, min(page_id) OVER (PARTITION BY p) AS holder FROM b)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> holder THEN holder END AS refers_to FROM d"""
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def quality() -> str:
+    count = lambda x, chars: f"(length({x}) - length(translate({x}, '{chars}', '')))"
+    blanks = lambda x: f"length(regexp_replace({x}, '[\\x20\\x09-\\x0D]', '', 'g'))"
+    n = f"len(regexp_extract_all(l, '{_WORD}'))"
+    fails = f"""(NOT regexp_matches(l, {_quoted(ENDS)}) AND {n} >= 3 OR {count("l", BARS)} >= 3 AND {n} <= 5 * ({count("l", BARS)} + 1)
+      OR {count("l", SYMBOLS)} * 3 >= {n} AND {count("l", SYMBOLS)} >= 3 OR {count("l", "!")} * 3 >= {n} AND {count("l", "!")} >= 4 OR regexp_matches(l, {_quoted(BOILERPLATE)}))"""
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+wins AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM d),
+keys AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS k FROM wins),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM keys) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY 1),
+lines AS (SELECT doc_id, l, regexp_matches(l, '{_WORD}') AS worded FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
+byline AS (SELECT doc_id, count(*) FILTER (worded) - count(DISTINCT l) FILTER (worded) AS dups, coalesce(sum({blanks("l")}) FILTER (worded AND {fails}), 0) AS lost FROM lines GROUP BY 1),
+f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST({blanks("t")} AS BIGINT) AS word_chars, CAST({count("t", SYMBOLS)} AS BIGINT) AS n_symbols, CAST(dups AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(lost AS BIGINT) AS lost_chars
+  FROM d JOIN byline USING (doc_id) LEFT JOIN rep USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_chars <= {MAX_LOST} * word_chars AS kept FROM f"""
+
+
+_PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+DECONTAMINATION = f"""
+WITH b AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_PLAIN_WORD}') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_PLAIN_WORD}') AS w FROM documents),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+hits AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.n = bw.n),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY 1),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+def secrets() -> str:
+    parts = []
+    for order, rule in enumerate(RULES):
+        parts.append(f"""SELECT doc_id, {order} AS o, '{rule.kind}' AS kind, a, a + length(m) AS z FROM (
+  SELECT doc_id, unnest(m) AS m, unnest(g) AS g, unnest(list_transform(range(len(m)), lambda i: list_sum(list_transform(s[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0))) AS a
+  FROM (SELECT doc_id, regexp_extract_all(t, {_quoted(rule.pattern)}, 0) AS m, regexp_extract_all(t, {_quoted(f"({rule.pattern})" if not rule.group else rule.pattern)}, {rule.group}) AS g, string_split_regex(t, {_quoted(rule.pattern)}) AS s FROM d WHERE regexp_matches(t, {_quoted(rule.pattern)})))
+  WHERE length(g) >= {rule.least}""")
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    told = "kind || ':' || CAST(a AS BIGINT) || ':' || CAST(z AS BIGINT)"
+    base = ", ".join(f"'{k}'" for k in BASE)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT doc_id, {counts}, string_agg({told}, ',' ORDER BY a, o) FILTER (kind IN ({base})) AS base, string_agg({told}, ',' ORDER BY a, o) AS spans FROM f GROUP BY 1)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+
+
+def oracles(entries: list[tuple[str, str, str, str]]) -> dict[str, str]:
+    return {"op1_url_filters": url_filters(entries), "op2_warc": WARC, "op4_quality_rules": quality(), "op7_decontamination": DECONTAMINATION, "op8_secret_scans": secrets()}

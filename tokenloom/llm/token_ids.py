@@ -36,50 +36,54 @@ BLOCK = 4096
 WIDTHS = [1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
 COUNTS = [60 // w for w in WIDTHS]
 ESCAPE = 15
-PAYLOAD = np.uint64((1 << 60) - 1)
 SEGMENT_IDS = 1 << 20
 
 
-def encode_block(ids: np.ndarray) -> np.ndarray:
-    """uint64 ids -> Simple-8b words.
+def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[np.ndarray]:
+    """uint64 ids -> Simple-8b words of each block of ids.
 
-    Greedy from the left: the selector with the most ids that all fit; the last word may have spare places
-    (the block's id count tells).  An id of over 60 bits takes an escape and a word of its own.
+    Greedy from the left: the selector with the most ids that all fit; a block's last word may have spare
+    places (the block's id count tells).  An id of over 60 bits takes an escape and a word of its own.
     """
     n = len(ids)
-    bits = np.zeros(n, np.int64)
-    if n:
-        bits = np.maximum(1, np.ceil(np.log2(ids.astype(np.float64) + 1)).astype(np.int64))
-        bits = np.where(ids >= np.uint64(1 << 52), 64, bits)
-    fits = []  # per selector: for each place, whether the next COUNTS ids (or all that are left) fit
-    for width, count in zip(WIDTHS, COUNTS, strict=True):
-        bad = np.flatnonzero(bits > width)
-        stop = np.concatenate((bad, [n + count]))[np.searchsorted(bad, np.arange(n))] if n else np.zeros(0, np.int64)
-        fits.append(stop - np.arange(n) >= np.minimum(count, n - np.arange(n)))
-    choice = np.full(n, ESCAPE, np.int64)
+    if not n:
+        return []
+    bits = np.maximum(1, np.frexp(ids.astype(np.float64))[1])
+    bits[ids >= np.uint64(1 << 52)] = 64
+    place = np.arange(n)
+    left = np.minimum(block - place % block, n - place)  # ids of the block from here on
+    choice = np.full(n, ESCAPE, np.int8)
     for s in range(len(WIDTHS) - 1, -1, -1):
-        choice[fits[s]] = s
-    step = np.where(choice == ESCAPE, 1, np.array([*COUNTS, 1, 1])[choice]).tolist()
-    starts, at = [], 0
+        fits = bits <= WIDTHS[s]
+        if not fits.any():
+            break
+        need = np.minimum(COUNTS[s], left)
+        if not fits.all():
+            stop = np.minimum.accumulate(np.where(fits, n + 60, place)[::-1])[::-1]
+            fits = stop - place >= need
+        choice[fits] = s
+    took = np.minimum(np.array([*COUNTS, 1, 1])[choice], left)
+    step, starts, at = took.tolist(), [], 0
     while at < n:
         starts.append(at)
         at += step[at]
     starts = np.array(starts, np.int64)
-    chosen = choice[starts] if n else np.zeros(0, np.int64)
-    place = np.arange(len(starts)) + np.concatenate(([0], np.cumsum(chosen == ESCAPE)[:-1])) if n else starts
-    words = np.zeros(len(starts) + int((chosen == ESCAPE).sum()), np.uint64)
-    padded = np.concatenate((ids, np.zeros(60, np.uint64)))
+    chosen, took = choice[starts], took[starts]
+    escaped = chosen == ESCAPE
+    where = np.arange(len(starts)) + np.cumsum(escaped) - escaped
+    words = np.zeros(len(starts) + int(escaped.sum()), np.uint64)
     for s in np.unique(chosen).tolist():
-        mine = chosen == s
-        word = np.full(int(mine.sum()), s << 60, np.uint64)
+        mine = np.flatnonzero(chosen == s)
+        word = np.full(len(mine), s << 60, np.uint64)
         if s == ESCAPE:
-            words[place[mine] + 1] = ids[starts[mine]]
+            words[where[mine] + 1] = ids[starts[mine]]
         else:
             for j in range(COUNTS[s]):
-                value = np.where(starts[mine] + j < n, padded[starts[mine] + j], np.uint64(0))
-                word |= value << np.uint64(j * WIDTHS[s])
-        words[place[mine]] = word
-    return words
+                there = j < took[mine]
+                word |= np.where(there, ids[np.minimum(starts[mine] + j, n - 1)], np.uint64(0)) << np.uint64(j * WIDTHS[s])
+        words[where[mine]] = word
+    begins = where[np.searchsorted(starts, np.arange(block, n, block))]
+    return np.split(words, begins)
 
 
 def decode_block(words: np.ndarray, n: int) -> np.ndarray:
@@ -108,7 +112,7 @@ def decode_block(words: np.ndarray, n: int) -> np.ndarray:
 def encode_segment(number: int, before: int, doc_ids: list[int | None], tokens: list[np.ndarray]) -> bytes:
     """Documents and their ids as a segment of file `number`, behind `before` ids."""
     ids = np.concatenate(tokens).astype(np.uint64) if tokens else np.zeros(0, np.uint64)
-    blocks = [encode_block(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
+    blocks = encode_blocks(ids)
     sizes = np.array([len(b) for b in blocks], "<u8")
     words = np.concatenate(blocks) if blocks else np.zeros(0, np.uint64)
     head = np.array([number, before, len(doc_ids), len(blocks), len(words)], "<u8").tobytes()

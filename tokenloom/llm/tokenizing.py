@@ -3,8 +3,8 @@
 The two vocabularies in use cut a text into pieces before any merge, and no piece spans the place where a
 character that isn't white space meets a blank, so a text is encoded chunk by chunk: a run of blanks and
 the run of other characters behind it.  Chunks are remembered per Python worker, in two generations of
-bounded size.  A chunk that ends in sentence marks behind a letter is put together from its stem and its
-marks, which the pieces separate too.
+bounded size.  A chunk that ends in sentence marks behind a letter, or has a line break inside, is put
+together from parts that the pieces separate too; a part of letters alone is one piece, and only merged.
 
 Texts for which that could differ are encoded whole by the library: those with an added token's opening
 "<|", with white space that isn't ASCII, or, for the vocabulary that normalises, with anything beyond
@@ -14,27 +14,41 @@ U+017F (there, within U+017F, NFC changes nothing and lower-casing is per charac
 from __future__ import annotations
 
 import re
+from array import array
 from functools import cache
 
-import numpy as np
 from tokenizers import Tokenizer
 
 GENERATION = 300_000
 _CHUNK = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
 _ODD_SPACE = r"\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
-_KEEPS_SPACE = re.compile(f"[{_ODD_SPACE}]|<\\|")
+_KEEPS_SPACE = re.compile(rf"[{_ODD_SPACE}]|<\|")
 _DROPS_SPACE = re.compile(rf"[{_ODD_SPACE}\u0130\u0180-\U0010ffff]|<\|")
+_ODD_LATIN = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
+_SPACED_ODDLY = ("  ", "\n ", " \n", "\t", "\r", "\f", "\v")
 _MARKS = ".,;:!?"
+#: Byte-level vocabularies spell bytes as characters: visible ones of Latin-1 as they are, others from U+0100 on.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SPELLING = {b: chr(b) for b in _SEEN} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(0x100) if b not in _SEEN)}
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class Encoder:
     """texts -> token ids as little-endian uint32 bytes, without special tokens.
 
-    path: a tokenizers JSON file.  Every worker reads it once.
+    path: a tokenizers JSON file of a byte-level BPE.  Every worker reads it once.
     """
 
     def __init__(self, path: str, generation: int = GENERATION):
         self.library = Tokenizer.from_file(path)
+        self.merge = self.library.model.tokenize
         self.drops_space = self.library.normalizer is not None
         self.whole = _DROPS_SPACE if self.drops_space else _KEEPS_SPACE
         self.generation = generation
@@ -43,44 +57,69 @@ class Encoder:
 
     def _library(self, texts: list[str]) -> list[bytes]:
         got = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in got]
-
-    def chunks(self, text: str) -> list[str]:
-        return text.lower().split() if self.drops_space else _CHUNK.findall(text)
+        return [array("I", e.ids).tobytes() for e in got]
+
+    def chunks(self, text: str) -> list[str] | None:
+        """The text's chunks, or None if the library has to see it whole."""
+        if any(c in text for c in _ODD_LATIN) if _latin(text) else self.whole.search(text):
+            return None
+        if self.drops_space:
+            return text.lower().split()
+        if any(c in text for c in _SPACED_ODDLY):
+            return _CHUNK.findall(text)
+        words = text.split(" ")  # each with one blank before it, but for the first
+        return [words[0], *map(" ".__add__, words[1:])]
+
+    def _piece(self, piece: str) -> bytes:
+        """One piece, letters alone or with a blank before them, goes to the library's merges at once."""
+        if piece.isascii():
+            spelled = piece.replace(" ", _SPELLING[0x20])
+        else:
+            spelled = piece.encode().decode("latin-1").translate(_SPELLING)
+        return array("I", [t.id for t in self.merge(spelled)]).tobytes()
+
+    def _parts(self, chunk: str) -> tuple[str, ...]:
+        """The chunk in parts that the vocabulary's pieces separate too."""
+        left, line, right = chunk.partition("\n")
+        if line and left and right and not left[-1].isspace() and not right[0].isspace():
+            return (*self._parts(left), line, *self._parts(right))
+        stem = chunk.rstrip(_MARKS)
+        if len(stem) < len(chunk) and stem and stem[-1].isalpha() and stem[-1] <= "\u017f":
+            return stem, chunk[len(stem) :]
+        return (chunk,)
 
     def _learn(self, missing: set[str]) -> None:
-        old, new = self.old, self.new
-        missing = {c for c in missing if (known := old.get(c)) is None or new.setdefault(c, known) is None}
-        marked, stems = {}, set()
+        old, new, split, rest = self.old, self.new, {}, set()
         for chunk in missing:
-            stem = chunk.rstrip(_MARKS)
-            if len(stem) < len(chunk) and stem and stem[-1].isalpha() and stem[-1] <= "\u017f":
-                marked[chunk] = stem
-                parts = (stem, chunk[len(stem) :])
-            else:
-                parts = (chunk,)
+            if (known := old.get(chunk)) is not None:
+                new[chunk] = known
+                continue
+            parts = self._parts(chunk)
+            if len(parts) > 1:
+                split[chunk] = parts
             for part in parts:
                 if part not in new:
-                    if (known := old.get(part)) is None:
-                        stems.add(part)
-                    else:
+                    if (known := old.get(part)) is not None:
                         new[part] = known
-        ordered = list(stems)
+                    elif part.removeprefix(" ").isalpha() and max(part) <= "\u017f":
+                        new[part] = self._piece(part)
+                    else:
+                        rest.add(part)
+        ordered = list(rest)
         new.update(zip(ordered, self._library(ordered), strict=True))
-        for chunk, stem in marked.items():
-            new[chunk] = new[stem] + new[chunk[len(stem) :]]
+        for chunk, parts in split.items():
+            new[chunk] = b"".join(map(new.__getitem__, parts))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        parts = [None if self.whole.search(t) else self.chunks(t) for t in texts]
+        parts = [self.chunks(t) for t in texts]
         if len(self.new) > self.generation:
             self.old, self.new = self.new, {}
         new = self.new
         if missing := {c for p in parts if p for c in p if c not in new}:
             self._learn(missing)
         whole = iter(self._library([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        get = self.new.__getitem__
-        return [next(whole) if p is None else b"".join(map(get, p)) for p in parts]
+        return [next(whole) if p is None else b"".join(map(new.__getitem__, p)) for p in parts]
 
 
 @cache

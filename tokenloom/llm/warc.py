@@ -124,13 +124,16 @@ def _records(batches: Iterable[pa.RecordBatch], payloads: bool, rows: int = 256,
     for batch in batches:
         for line in batch.column(0):
             held += line.as_py() + end
-            while len(held) >= need and (at := held.find(end)) >= 0:
+            while len(held) >= need:
+                if not need:  # a payload's own line breaks can leave some of the separator's behind it
+                    del held[: len(held) - len(held.lstrip(CRLF.encode()))]
+                if (at := held.find(end)) < 0:
+                    break
                 header = bytes(held[:at])
-                length = int(_fields(header)["content-length"])
-                need = at + length + 2 * len(end)
+                need = at + len(end) + int(_fields(header)["content-length"])
                 if len(held) < need:
                     break
-                block = bytes(held[at + len(end) : need - len(end)])
+                block = bytes(held[at + len(end) : need])
                 del held[:need]
                 need = 0
                 row, payload = _parsed(header, block)
@@ -139,6 +142,7 @@ def _records(batches: Iterable[pa.RecordBatch], payloads: bool, rows: int = 256,
                 if len(out) >= rows or held_bytes >= size:
                     yield flush()
                     out, held_bytes = [], 0
+    del held[: len(held) - len(held.lstrip(CRLF.encode()))]
     if held:
         raise ValueError("the archive ends inside a record")
     yield flush()
