@@ -47,5 +47,14 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def in_place(condition: Column) -> Column:
+    """The condition as a column that a filter on it leaves where it is.
+
+    A filter on computed columns is pushed below them by spelling them out; where lambdas read those columns,
+    a text would be taken apart again for each element.  Ids count from 0 on, so the value is unchanged.
+    """
+    return condition & (F.monotonically_increasing_id() >= 0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

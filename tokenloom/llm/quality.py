@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import WORD, whole_text
+from tokenloom.llm.common import WORD, in_place, whole_text
 
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -107,6 +107,7 @@ def figures(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
 
 def cleaned_documents(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     """The kept documents with their failed lines removed, in the columns of docs (n_chars follows the text)."""
-    out = assessed(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text")), max_lost).where("kept")
+    out = assessed(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text")), max_lost)
+    out = out.withColumn("_stays", in_place(F.col("kept"))).where("_stays")
     fresh = {"text": F.col("cleaned")} | ({"n_chars": F.length("cleaned").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.select(*(fresh.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import fresh_path, stage, whole_text
+from tokenloom.llm.common import fresh_path, in_place, stage, whole_text
 
 RULES_VERSION = "1"
 
@@ -48,8 +48,12 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     pattern = F.lit(f"({rule.pattern})") if not rule.group else F.lit(rule.pattern)
     hits = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.split(text, rule.pattern, -1)
-    checked = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else hits
-    parts = F.transform(hits, lambda h, i: F.struct(F.length(F.get(gaps, i)).cast("long").alias("gap"), F.length(h).cast("long").alias("size"), (F.length(F.get(checked, i)) >= rule.least).alias("ok")))
+    parts = F.zip_with(hits, gaps, lambda h, g: F.struct(F.length(g).cast("long").alias("gap"), F.length(h).cast("long").alias("size")))
+    if rule.group:
+        checked = F.regexp_extract_all(text, pattern, F.lit(rule.group))
+        parts = F.zip_with(parts, checked, lambda p, c: F.struct(p["gap"], p["size"], (F.length(c) >= rule.least).alias("ok")))
+    else:
+        parts = F.transform(parts, lambda p: F.struct(p["gap"], p["size"], p["size"].isNotNull().alias("ok")))
     empty = F.array().cast(f"array<{SPAN}>")
     walk = F.aggregate(
         parts,
@@ -66,8 +70,8 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(digest, text) -> (digest, spans) of blobs with findings, sorted by start, then the order of the rules."""
     found = blobs.select("digest", *(spans_of(F.col("text"), r, i).alias(f"_{i}") for i, r in enumerate(rules)))
-    some = found.where(" or ".join(f"size(_{i}) > 0" for i in range(len(rules))))
-    return some.select("digest", F.array_sort(F.concat(*(f"_{i}" for i in range(len(rules))))).alias("spans"))
+    merged = found.select("digest", F.array_sort(F.concat(*(f"_{i}" for i in range(len(rules))))).alias("spans"))
+    return merged.withColumn("_some", in_place(F.size("spans") > 0)).where("_some").drop("_some")
 
 
 def versions(docs: DataFrame) -> DataFrame:
