@@ -39,6 +39,26 @@ ESCAPE = 15
 SEGMENT_IDS = 1 << 20
 
 
+def _choices(rows: np.ndarray, block: int) -> np.ndarray:
+    """For each id of each row the selector with the most ids that all fit from there on.
+
+    The most bits in a run of ids come from two runs of a power of two, so each selector is one comparison.
+    """
+    bits = np.maximum(1, np.frexp(rows.astype(np.float64))[1]).astype(np.uint8)
+    bits[rows >= np.uint64(1 << 52)] = 64
+    choice = np.full((len(rows), block), ESCAPE, np.uint8)
+    most, run = bits, 1  # the most bits in `run` ids from each place on
+    for s in range(len(WIDTHS) - 1, -1, -1):
+        while 2 * run <= COUNTS[s]:
+            most, run = np.maximum(most[:, :-run], most[:, run:]), 2 * run
+        behind = COUNTS[s] - run
+        fits = np.maximum(most[:, :block], most[:, behind : behind + block]) <= WIDTHS[s]
+        if not fits.any():
+            break
+        choice[fits] = s
+    return choice.ravel()
+
+
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[np.ndarray]:
     """uint64 ids -> Simple-8b words of each block of ids.
 
@@ -48,39 +68,31 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[np.ndarray]:
     n = len(ids)
     if not n:
         return []
-    bits = np.maximum(1, np.frexp(ids.astype(np.float64))[1])
-    bits[ids >= np.uint64(1 << 52)] = 64
-    place = np.arange(n)
-    left = np.minimum(block - place % block, n - place)  # ids of the block from here on
-    choice = np.full(n, ESCAPE, np.int8)
-    for s in range(len(WIDTHS) - 1, -1, -1):
-        fits = bits <= WIDTHS[s]
-        if not fits.any():
-            break
-        need = np.minimum(COUNTS[s], left)
-        if not fits.all():
-            stop = np.minimum.accumulate(np.where(fits, n + 60, place)[::-1])[::-1]
-            fits = stop - place >= need
-        choice[fits] = s
-    took = np.minimum(np.array([*COUNTS, 1, 1])[choice], left)
-    step, starts, at = took.tolist(), [], 0
-    while at < n:
-        starts.append(at)
-        at += step[at]
+    full, odd = divmod(n, block)
+    rows = np.zeros((full + (odd > 0), block + COUNTS[0]), np.uint64)  # zeros behind a block's end fit any width
+    rows[:full, :block] = ids[: full * block].reshape(full, block)
+    if odd:
+        rows[full, :odd] = ids[full * block :]
+    choice = _choices(rows, block)
+    step, starts = np.array([*COUNTS, 1, 1], np.uint8)[choice].tobytes(), []
+    for at in range(0, n, block):
+        end = min(at + block, n)
+        while at < end:
+            starts.append(at)
+            at += step[at]
     starts = np.array(starts, np.int64)
-    chosen, took = choice[starts], took[starts]
+    chosen, places = choice[starts], starts + starts // block * COUNTS[0]
     escaped = chosen == ESCAPE
     where = np.arange(len(starts)) + np.cumsum(escaped) - escaped
-    words = np.zeros(len(starts) + int(escaped.sum()), np.uint64)
+    words, flat = np.zeros(len(starts) + int(escaped.sum()), np.uint64), rows.ravel()
     for s in np.unique(chosen).tolist():
         mine = np.flatnonzero(chosen == s)
-        word = np.full(len(mine), s << 60, np.uint64)
+        word, place = np.full(len(mine), s << 60, np.uint64), places[mine]
         if s == ESCAPE:
-            words[where[mine] + 1] = ids[starts[mine]]
+            words[where[mine] + 1] = flat[place]
         else:
             for j in range(COUNTS[s]):
-                there = j < took[mine]
-                word |= np.where(there, ids[np.minimum(starts[mine] + j, n - 1)], np.uint64(0)) << np.uint64(j * WIDTHS[s])
+                word |= flat[place + j] << np.uint64(j * WIDTHS[s])
         words[where[mine]] = word
     begins = where[np.searchsorted(starts, np.arange(block, n, block))]
     return np.split(words, begins)
@@ -99,13 +111,14 @@ def decode_block(words: np.ndarray, n: int) -> np.ndarray:
     starts = np.cumsum(counts) - counts
     out = np.zeros(int(counts.sum()), np.uint64)
     for s in np.unique(selectors).tolist():
-        mine = selectors == s
+        mine = np.flatnonzero(selectors == s)
+        word, place = words[mine], starts[mine]
         if s == 14:
-            out[starts[mine]] = words[mine]
+            out[place] = word
         elif s != ESCAPE:
             mask = np.uint64((1 << WIDTHS[s]) - 1)
             for j in range(COUNTS[s]):
-                out[starts[mine] + j] = words[mine] >> np.uint64(j * WIDTHS[s]) & mask
+                out[place + j] = word >> np.uint64(j * WIDTHS[s]) & mask
     return out[:n]
 
 

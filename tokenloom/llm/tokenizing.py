@@ -40,6 +40,11 @@ def _latin(text: str) -> bool:
     return True
 
 
+def _one_piece(part: str) -> bool:
+    """Whether the part is letters alone, or with a blank before them."""
+    return part.removeprefix(" ").isalpha() and (part.isascii() or max(part) <= "\u017f")
+
+
 class Encoder:
     """texts -> token ids as little-endian uint32 bytes, without special tokens.
 
@@ -94,6 +99,9 @@ class Encoder:
             if (known := old.get(chunk)) is not None:
                 new[chunk] = known
                 continue
+            if _one_piece(chunk):
+                new[chunk] = self._piece(chunk)
+                continue
             parts = self._parts(chunk)
             if len(parts) > 1:
                 split[chunk] = parts
@@ -101,7 +109,7 @@ class Encoder:
                 if part not in new:
                     if (known := old.get(part)) is not None:
                         new[part] = known
-                    elif part.removeprefix(" ").isalpha() and max(part) <= "\u017f":
+                    elif _one_piece(part):
                         new[part] = self._piece(part)
                     else:
                         rest.add(part)
