@@ -8,10 +8,11 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from tests.llm import brute
-from tokenloom.llm import components, decontaminate, packing, pii, quality, secret_scan, simhash, token_counts, token_ids, tokenizing, url_filters, warc
+from tokenloom.llm import components, decontaminate, packing, pii, quality, queries, secret_scan, simhash, token_counts, token_ids, tokenizing, url_filters, warc
 from tokenloom.llm.common import fresh_path
 
 BYTE_BPE, WORD_BPE, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -254,6 +255,26 @@ def test_ties_keep_the_longest_last_piece():
         assert count(text) == len(library.encode(text).ids), text
 
 
+def test_model_counts_are_the_tokenizers_own(spark, docs, texts, nothing):
+    library = SentencePieceProcessor(model_file=PIECES).encode
+    got = {r.doc_id: r.n_tokens for r in token_counts.model_counts(docs, PIECES).collect()}
+    assert got == {i: len(library(t or "")) for i, t in enumerate(texts)}
+    assert token_counts.model_counts(nothing, PIECES).count() == 0
+    count = token_counts.ModelCounter(PIECES, generation=3)
+    assert count.by_unit and count("The children were reading") == len(library("The children were reading")) == 4
+    rng = random.Random(6)
+    for _ in range(2000):
+        text = "".join(rng.choice(["a", "th", "er", "日", "😀", "\n", "\0", " ", "  ", "▁", "\t", "<s>", "é", "."]) for _ in range(rng.randrange(20)))
+        assert count(text) == len(library(text)), text
+
+
+def test_registered_token_counts(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    library = SentencePieceProcessor(model_file=PIECES).encode
+    got = {r.doc_id: r.n_tokens for r in queries.op6_token_counts(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {r.doc_id: len(library(r.text or "")) for r in rows}
+
+
 # decontamination
 
 

@@ -62,7 +62,7 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.model_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,15 @@ stays; a character that is no piece costs the lowest score less ten and counts o
 
 Blanks become U+2581 and words are counted one by one, each with its own in front, as the library's
 Metaspace does.  Counts of words are remembered per Python worker, in two generations of bounded size.
+
+A SentencePiece file of another kind (BPE: its scores are ranks of merges, not log-probabilities) isn't for that
+method; `model_counts` gives the counts of the file's own tokenizer, whatever its kind.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache, partial
 
 import ahocorasick
@@ -89,8 +93,60 @@ def counter(path: str) -> Counter:
     return Counter(vocabulary(path))
 
 
-def _rows(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    count = counter(path)
+class ModelCounter:
+    """text -> how many pieces SentencePiece's own encoder makes of it with the model in path.
+
+    A BPE model merges pieces and nothing else: if no piece goes on with a blank after another character, no
+    merge crosses the front of a run of blanks, and runs with the word behind them are encoded and
+    remembered one by one.  Any other model gets whole texts.
+    """
+
+    UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
+
+    def __init__(self, path: str, generation: int = GENERATION):
+        from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
+
+        self.encode = SentencePieceProcessor(model_file=path).encode
+        model = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as f:
+            model.ParseFromString(f.read())
+        plain, spec = model.normalizer_spec, model.trainer_spec
+        crossing = any(SPACE in p.piece.lstrip(SPACE) for p in model.pieces)
+        defined = any(p.type == p.USER_DEFINED for p in model.pieces)
+        untouched = not plain.precompiled_charsmap and not plain.remove_extra_whitespaces and plain.add_dummy_prefix and plain.escape_whitespaces
+        self.by_unit = spec.model_type == spec.BPE and not spec.treat_whitespace_as_suffix and untouched and not crossing and not defined
+        self.generation = generation
+        self.new: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+
+    def of_unit(self, unit: str) -> int:
+        """The encoder puts a blank in front, which the unit has; of an empty text it makes nothing, of one blank a piece."""
+        return len(self.encode(unit[1:])) or 1
+
+    def __call__(self, text: str) -> int:
+        if not text or not self.by_unit:
+            return len(self.encode(text))
+        units = self.UNIT.findall(SPACE + text.replace(" ", SPACE))
+        if len(self.new) > self.generation:
+            self.old, self.new = self.new, {}
+        new, old, total = self.new, self.old, 0
+        for n, unit in zip(map(new.get, units), units, strict=True):
+            if n is None and (n := new.get(unit)) is None:
+                if (n := old.get(unit)) is None:
+                    n = self.of_unit(unit)
+                new[unit] = n
+            total += n
+        return total
+
+
+@cache
+def model_counter(path: str) -> ModelCounter:
+    """This worker's counter of the tokenizer in path."""
+    return ModelCounter(path)
+
+
+def _rows(batches: Iterable[pa.RecordBatch], path: str, make: Callable[[str], Callable[[str], int]] = counter) -> Iterator[pa.RecordBatch]:
+    count = make(path)
     for batch in batches:
         n = [count(t.as_py()) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
@@ -100,3 +156,9 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_tokens) over whole texts.  Null and empty texts have none."""
     texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     return texts.mapInArrow(partial(_rows, path=path), "doc_id long, n_tokens long")
+
+
+def model_counts(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, text) -> (doc_id, n_tokens) as the SentencePiece tokenizer in path counts them.  Null and empty texts have none."""
+    texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
+    return texts.mapInArrow(partial(_rows, path=path, make=model_counter), "doc_id long, n_tokens long")
