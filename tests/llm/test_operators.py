@@ -4,8 +4,10 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
@@ -356,6 +358,40 @@ def test_redaction(spark):
     assert (out[2].text, out[3].text, out[4].text) == ("clean text", None, "[SECRET] end")
 
 
+def test_whole_private_keys(spark):
+    rng = random.Random(8)
+    line = lambda n: "".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(n))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join([*(line(64) for _ in range(25)), line(30) + "=="])
+    long = "\n".join(line(64 - i % 2) for i in range(8000))  # over 10^4 groups would overflow the stack
+    keys = [
+        f"{begin}\n{body}\n{end}",
+        f"{begin}\r\n" + body.replace("\n", "\r\n") + f"\r\n{end}",
+        f"{begin}\\n" + body.replace("\n", "\\n") + f"\\n{end}",
+        f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,3F17F5316E2BAC89\n\n{body}\n{end}",
+        f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,3F17F5316E2BAC89\n\n{body}",
+        f"{begin}\n{body}",
+        f"{begin}\n{long}\n{end}",
+        f"{begin}\n{long}",
+        f"{begin}\n{body}\n{line(50)}",
+    ]
+    texts = [f"My é😀 key:\n{k}{tail}" for k in keys for tail in ("", "\nAnd the prose goes on, all of it.")]
+    texts.append(f"A key starts with {begin} and prose goes on - in many words.")
+    texts.append((begin + "\n") * 3000)
+    texts.append(f"{keys[0]}\nbetween them, prose.\n{keys[0]}")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in secret_scan.redacted_documents(df).collect()}
+    for i in range(2 * len(keys)):
+        assert out[i] == "My é😀 key:\n[SECRET]" + ("\nAnd the prose goes on, all of it." if i % 2 else ""), (i, out[i][:300])
+    assert out[2 * len(keys)] == "A key starts with [SECRET] and prose goes on - in many words."
+    assert out[2 * len(keys) + 1] == "[SECRET]\n" * 3000
+    assert out[2 * len(keys) + 2] == "[SECRET]\nbetween them, prose.\n[SECRET]"
+    duck = duckdb.connect()
+    documents = pa.table({"doc_id": range(len(texts)), "text": texts})  # noqa: F841
+    theirs = {r[0]: r[1] for r in duck.execute(f"select doc_id, spans from ({queries.oracle_sql()['op8_secret_scans']})").fetchall()}
+    assert {r.doc_id: r.spans for r in secret_scan.digests(secret_scan.findings(df)).collect()} == theirs
+
+
 # packing
 
 

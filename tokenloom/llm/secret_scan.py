@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.common import fresh_path, in_place, stage, whole_text
 
-RULES_VERSION = "1"
+RULES_VERSION = "1.1"
 
 
 @dataclass(frozen=True)
@@ -28,12 +28,17 @@ class Rule:
     least: int = 0
 
 
+_KEY = r"(?:[A-Z]+ )?PRIVATE KEY-----"
+#: A private key from its BEGIN to its END, with up to 16 single hyphens between (as in DEK-Info); where END is missing, to
+#: the end of the last base64 line, or of a base64 run of 40 characters.  One class runs over all lines: no group repeats by
+#: line, the scan is linear and no engine's stack grows with the key.
+PEM = rf"-----BEGIN {_KEY}(?:[^-]*(?:-[^-]+){{0,16}}-----END {_KEY}|(?:[\r\n]+(?:Proc-Type|DEK-Info): [^\r\n]*){{0,2}}[\x20\t]*[A-Za-z0-9+/=\r\n]*(?:[A-Za-z0-9+/=](?:\r|(?m:$))|[A-Za-z0-9+/=]{{40}}))?"
 #: The patterns, fixed values; the first three are the base, in order.
 RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"),
+    Rule("pem", PEM),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 BASE = ("assign", "access", "hex")
