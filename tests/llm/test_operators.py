@@ -442,6 +442,18 @@ def test_personal_data(spark, docs, texts, nothing):
         pii.personal_data(df.withColumn("PII", F.lit(1)))
 
 
+def test_ibans_before_words_and_numbers():
+    known = ["BE68 5390 0754 7034", "BE68539007547034", "ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00", "NL91ABNA0417164300"]
+    for iban in known:
+        for tail in ("", " BIC: GEBABEBB", " EUR", " EUR 100", " 12", " 2024 12 31 X", " BIC GEBABEBB EUR 1234 5678", ", ref 7", " AB12 CDEF GHIJ"):
+            for head in ("", "IBAN ", "AB12 CDEF GHIJ ", "XY00 1234 5678 9012 "):
+                text = head + iban + tail
+                assert [text[a:b] for a, b, k in pii.find(text) if k == "iban"] == [iban], text
+    text = " ".join(known)
+    assert [text[a:b] for a, b, k in pii.find(text) if k == "iban"] == known
+    assert pii.ibans("BE69 5390 0754 7034 EUR") == [] and pii.ibans("AB12 CDEF GHIJ " * 20000) == []
+
+
 def test_context_moves_the_score():
     card = "4111 1111 1111 1111"
     scores = [pii.score(t + card, len(t), len(t) + len(card), "card") for t in ("", "credit card: ", "order serial ")]

@@ -64,6 +64,26 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Spans of IBANs, leftmost, the longest end at a border of groups that mod-97 confirms.
+
+    A match may have run on into the next word or number, or begun before the IBAN: where no end is
+    confirmed the search goes on behind the match's country and check digits, else behind the span.
+    """
+    out, m = [], _IBAN.search(text)
+    while m:
+        start, end = m.span()
+        free = start + 4
+        while end - start >= 12:
+            if mod97(text[start:end].replace(" ", "")):
+                out.append((start, end))
+                free = end
+                break
+            end = text.rfind(" ", start, end)
+        m = _IBAN.search(text, free)
+    return out
+
+
 def _digits(text: str) -> str:
     return re.sub("[^0-9]", "", text)
 
@@ -83,7 +103,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
             found.append((m.start(), m.end(), 2))
     if "+" in text:
         found += [(m.start(), m.end(), 3) for m in _PHONE.finditer(text) if 10 <= len(_digits(m[0])) <= 15]
-    found += [(m.start(), m.end(), 4) for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+    found += [(a, b, 4) for a, b in ibans(text)]
     return [(a, b, KINDS[k]) for a, b, k in sorted(found, key=lambda x: (x[0], x[2], x[1]))]
 
 
