@@ -184,9 +184,23 @@ def test_quality_figures_and_cleaning(spark, docs, texts, nothing):
 def test_encoder_equals_the_library(path, generation, texts):
     mine, theirs = tokenizing.Encoder(path, generation), Tokenizer.from_file(path)
     more = [*(t or "" for t in texts), "foo's. 's. don't, x.y.z 3,4.5 a...b !? (a) ª. Ω. ŉ. ĸ!", " .", "..", "a\n.b", "ab\ncd ef\n\ngh", "a \nb", "a\n b", "a b", "ÀÉ Ñ", "ẞ STRASSE"]
-    got = mine(more)
-    for text, ids in zip(more, got, strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids, text
+    for kind in (pa.string(), pa.large_string()):
+        for cut, ids, counts in mine.slices(pa.array(["before", *more], kind).slice(1), 7, size=3000):
+            for text, got in zip(more[cut], np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+                assert got.tolist() == [*theirs.encode(text, add_special_tokens=False).ids, 7], text
+
+
+@pytest.mark.parametrize("path", [BYTE_BPE, WORD_BPE])
+def test_encoder_on_random_texts(path):
+    rng = random.Random(12)
+    parts = ["a", "The", "é", "ÿ", "×", "÷", "ª", "İ", "ſ", "Ω", "’s", "'s", "'LL", "'", ".", "..", "(", "<", "<|", "|", "7", "42", "²", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x1c", "\xa0", "—", "日", "😀", "e\u0301", "\0"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(6000)]
+    mine, theirs = tokenizing.Encoder(path, 50), Tokenizer.from_file(path)
+    want = [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
+    ids, counts = mine(pa.array(texts))
+    for text, got, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), want, strict=True):
+        assert got.tolist() == own, repr(text)
+    assert [len(x) for x in mine(pa.array([], pa.string()))] == [0, 0] and mine(pa.array(["", ""]))[1].tolist() == [0, 0]
 
 
 def test_words_of_simple8b():
@@ -399,7 +413,10 @@ def test_packing(docs, texts, nothing):
     tokenizer = Tokenizer.from_file(WORD_BPE)
     want = {i: brute.ids_of(tokenizer, t) for i, t in enumerate(texts)}
     brute.check_packing([r.asDict() for r in packing.packed(docs, WORD_BPE, 2).collect()], want)
-    brute.check_packing([r.asDict() for r in packing.packed(docs, WORD_BPE, 2, length=256, grain=8).collect()], want, 256)
+    for length, grain in ((256, 8), (100, 64), (50, 80), (3, 1)):
+        brute.check_packing([r.asDict() for r in packing.packed(docs, WORD_BPE, 2, length=length, grain=grain).collect()], want, length)
+    with pytest.raises(ValueError):
+        packing.packed(docs, WORD_BPE, 2, grain=0)
     assert packing.packed(nothing, WORD_BPE, 2).count() == 0
 
 

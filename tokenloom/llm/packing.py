@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import stage, whole_text
-from tokenloom.llm.tokenizing import encoder, in_slices
+from tokenloom.llm.tokenizing import encoder
 
 LENGTH = 4096
 GRAIN = 64
@@ -72,20 +72,16 @@ def repeats(histogram: np.ndarray, combos: list[tuple[int, ...]], sweeps: int =
 
 
 def _tokens(batches: Iterable[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encode, part = encoder(vocabulary), TaskContext.get().partitionId()
-    end, row = np.array([end_id], "<u4").tobytes(), 0
-    wide = encode.library.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
+    encode, part, row = encoder(vocabulary), TaskContext.get().partitionId(), 0
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for cut in in_slices(texts):
-            got = [x + end for x in encode(texts[cut])]
-            n = len(got)
-            sizes = np.array([len(x) // 4 for x in got], np.int64)
-            if not wide:
-                got = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in got]
+        names = batch.column(0)
+        for cut, ids, counts in encode.slices(batch.column(1), end_id):
+            n = len(counts)
             uids = (part << 40) + np.arange(row, row + n, dtype=np.int64)
             row += n
-            yield pa.RecordBatch.from_arrays([ids.slice(cut.start, n), pa.array(uids), pa.array(sizes), pa.array(got, pa.binary())], ["doc_id", "uid", "n", "ids"])
+            edge = np.concatenate(([0], np.cumsum(counts))) * ids.itemsize
+            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(edge), pa.py_buffer(ids)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([names.slice(cut.start, n), pa.array(uids), pa.array(counts), data], ["doc_id", "uid", "n", "ids"])
 
 
 def tokens(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
@@ -99,11 +95,11 @@ def _before(df: DataFrame, keys: list[str], value: Column, out: str) -> DataFram
     """Adds the sum of value over the rows before a row, by keys (if any), then bucket, then uid."""
     by = df.groupBy(*keys, "bucket").agg(F.sum(value).alias("_n"))
     order = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("bucket")
-    by = by.withColumn("_base", F.sum("_n").over(order) - F.col("_n")).drop("_n")  # one row a bucket
+    by = stage(by.withColumn("_base", F.sum("_n").over(order) - F.col("_n")).drop("_n"), "packing-before")  # a row for each bucket (and class), of known size
     rows = Window.partitionBy(*keys, "bucket").orderBy("uid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = df.withColumn("_upto", F.sum(value).over(rows) - value)
     on = [*keys, "bucket"]
-    return within.join(F.broadcast(by), on).withColumn(out, F.col("_base") + F.col("_upto")).drop("_base", "_upto")  # buckets (x classes) rows
+    return within.join(by, on).withColumn(out, F.col("_base") + F.col("_upto")).drop("_base", "_upto")
 
 
 def plan(lengths: DataFrame, length: int = LENGTH, grain: int = GRAIN, buckets: int = 64) -> DataFrame:
@@ -112,16 +108,23 @@ def plan(lengths: DataFrame, length: int = LENGTH, grain: int = GRAIN, buckets:
     whole_seq: sequence of its first whole window (the others follow).  seq, offset, taken: where the tokens
     behind the whole windows begin and how many of them lie there (0: none).  rest_at: where what then is
     left begins in the row of residuals, as a token number over all sequences.
+
+    Any grain from 1 on will do; the last class is narrower where length is no multiple of it, and with a
+    grain of length or more nothing combines and all lengths are residuals.  No rows give none.
     """
+    if length < 1 or grain < 1:
+        raise ValueError("length and grain: 1 or more")
     df = lengths.select("uid", "n").withColumns({"whole": F.floor(F.col("n") / length), "left": F.col("n") % length})
     df = df.withColumns({"class": F.floor(F.col("left") / grain), "bucket": F.pmod(F.xxhash64("uid"), F.lit(buckets))})
     df = stage(df, "packing-lengths")
     counts = df.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a class
-    histogram = np.zeros(length // grain, np.int64)
+    classes = -(-length // grain)
+    histogram = np.zeros(classes, np.int64)
     for row in counts:
         histogram[row["class"]] = row["n"]
     histogram[0] = 0
-    combos = combinations(length // grain)
+    most = lambda combo: sum(min((c + 1) * grain, length) - 1 for c in combo[:-1])
+    combos = [c for c in combinations(classes) if most(c) < length]  # else the window may be full before the last member
     times = repeats(histogram, combos)
     ranges, first, used = [], 0, {}
     for combo, n in zip(combos, times.tolist(), strict=True):
@@ -180,6 +183,7 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int, length: int = LENGTH,
     """(doc_id, text) -> a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null text is one end id.  Repeated rows and null doc_ids are documents of their own.  No rows give none.
+    Other columns are ignored, whatever their names; doc_id is cast to long (null where it is no number).
     sequence_id runs from 0 without a gap, and offsets in a sequence without one too.
     """
     n = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import stage, whole_text
-from tokenloom.llm.tokenizing import encoder, in_slices
+from tokenloom.llm.tokenizing import encoder
 
 MAGIC = b"TLS8"
 SYNC = "\x1eTLS8\x1e\x04\n"
@@ -167,19 +167,18 @@ def decode_segment(data: bytes) -> tuple[int, int, list[int | None], list[np.nda
 
 def _segments(batches: Iterable[pa.RecordBatch], vocabulary: str, end_id: int, segment_ids: int) -> Iterator[pa.RecordBatch]:
     encode, number = encoder(vocabulary), TaskContext.get().partitionId()
-    end = np.array([end_id], "<u4").tobytes()
     doc_ids, tokens, held, before = [], [], 0, 0
 
     def flush():
         return pa.RecordBatch.from_arrays([pa.array([encode_segment(number, before, doc_ids, tokens)], pa.binary())], ["value"])
 
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for part in in_slices(texts):
-            for doc_id, got in zip(ids[part], encode(texts[part]), strict=True):
+        names = batch.column(0).to_pylist()
+        for part, ids, counts in encode.slices(batch.column(1), end_id):
+            for doc_id, got in zip(names[part], np.split(ids, np.cumsum(counts)[:-1]), strict=True):
                 doc_ids.append(doc_id)
-                tokens.append(np.frombuffer(got + end, "<u4"))
-                held += len(tokens[-1])
+                tokens.append(got)
+                held += len(got)
                 if held >= segment_ids:
                     yield flush()
                     doc_ids, tokens, held, before = [], [], 0, before + held
