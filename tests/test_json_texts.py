@@ -1,5 +1,6 @@
 """Tokens, validation, errors and pointer events of whole texts."""
 
+import gzip
 import json
 import random
 
@@ -10,7 +11,7 @@ from tokenloom.functions.pointers import Group, PointerError, check_pointer, ste
 from tokenloom.operators import json_texts as js
 from tokenloom.operators.native import token_rows
 from tokenloom.plans.diagnosis import diagnose
-from tokenloom.sources.json_sources import concatenated, joined_chunks, json_bytes, json_files, json_lines, json_sequences
+from tokenloom.sources.json_sources import concatenated, joined_chunks, json_bytes, json_files, json_lines, json_sequences, validated_files
 
 
 def docs(spark, texts, kind="string"):
@@ -212,10 +213,32 @@ def test_extract_redact_and_skip(spark):
     df = docs(spark, ['{"a": [1, {"b":"x"}],\n "p":"secret","a":{}}'])
     assert [(r.pointer, r.value) for r in js.extract(df, ["/a", "/a/1"]).orderBy("i").collect()] == [("/a", '[1, {"b":"x"}]'), ("/a/1", '{"b":"x"}'), ("/a", "{}")]
     assert js.redact(df, ["/p", "/a/1", "/a/1/b"]).first().redacted == '{"a": [1, "***"],\n "p":"***","a":{}}'
-    tokens = js.skip_structure(js.parse(df), 4).orderBy("i").collect()
+    tokens = js.skip_structure(df, 4).orderBy("i").collect()
     assert [r.literal for r in tokens if r.kind != "White"][:6] == ["{", '"a"', ":", "[", "]", ","]
 
 
+def test_redaction_at_the_edges_of_texts(spark):
+    texts = ["1", "", "[2]", '{"a":[1,2]}', "x", '"é"', " 3 ", '{"a":1,"b":{"a":2}} ']
+    got = [r.redacted for r in js.redact(docs(spark, texts).coalesce(1), ["", "/a"], "#").orderBy("doc_id").collect()]
+    assert got == ["#", "", "#", "#", "x", "#", " # ", "# "]
+    got = [r.redacted for r in js.redact(docs(spark, texts).coalesce(1), ["/a", "/b/a"], "").orderBy("doc_id").collect()]
+    assert got == ["1", "", "[2]", '{"a":}', "x", '"é"', " 3 ", '{"a":,"b":{"a":}} ']
+
+
+def test_events_by_context_and_skipping(spark):
+    df = docs(spark, ['{"a": [1, {"b":"x"}], "c":2} ', '[1,}'])
+    rows = js.pointer_events(df, ["/a/1/b", "/c", "/a"], nil=True, skip=js.SEPARATORS, columns=["i", "event", "kind", "pointer", "stack", "inside", "line", "col", "err"]).orderBy("doc_id", "i").collect()
+    mine = [r for r in rows if r.doc_id == 0]
+    assert not {r.kind for r in mine} & set(js.SEPARATORS) and [r.event for r in mine if r.event != "Nil"] == ["Enter", "Match", "Exit", "Match"]
+    assert [r.stack for r in mine][:6] == [["Obj"], ["Obj"], ["Obj", "Arr"], ["Obj", "Arr"], ["Obj", "Arr", "Obj"], ["Obj", "Arr", "Obj"]]
+    assert (rows[-1].kind, rows[-1].event, rows[-1].err.variant, rows[-1].stack, rows[-1].inside) == ("Err", "Nil", "Syntax", ["Arr"], "Arr")
+    for at, want in ((4, [("Enter", "/a"), ("Exit", "/a"), ("Match", "/c")]), (0, []), (50, [("Enter", "/a"), ("Match", "/a/1/b"), ("Exit", "/a"), ("Match", "/c")])):
+        got = js.pointer_events(df.where("doc_id = 0"), ["/a/1/b", "/c", "/a"], after=at).orderBy("i").collect()
+        assert [(r.event, r.pointer) for r in got] == want, at
+    left = [r.literal for r in js.skip_structure(docs(spark, ["[[1,2", "[1]", "1"]), 1).orderBy("doc_id", "i").collect()]
+    assert left == ["[", "[", "", "[", "1", "]", "", "1", ""]
+
+
 def test_texts_with_errors_give_events_up_to_them(spark):
     df = docs(spark, ['{"a":1,"b":[2,}', '{"a":1,"b":tru'])
     assert [(r.doc_id, r.event, r.pointer) for r in js.pointer_events(df, ["/a", "/b", "/b/0"]).orderBy("doc_id", "i").collect()] == [(0, "Match", "/a"), (0, "Enter", "/b"), (0, "Match", "/b/0"), (1, "Match", "/a")]
@@ -242,6 +265,14 @@ def test_sources(spark, tmp_path):
     assert [(r.doc_id, r.text_no, r.value) for r in many.orderBy("doc_id", "text_no").collect()] == [(0, 0, '{"a":1}'), (0, 1, "[2]"), (0, 2, "3"), (0, 3, '"x"'), (0, 4, "true"), (1, 0, "1"), (1, 1, "2")]
 
 
+def test_files_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "good.json").write_text("[1]")
+    (tmp_path / "wrong.json").write_text("[1")
+    (tmp_path / "cut.json.gz").write_bytes(gzip.compress(b"[1,2,3]" * 500)[:-40])
+    rows = {r.path.rsplit("/", 1)[1]: (r.is_valid, r.err and (r.err["class"], r.err.variant)) for r in validated_files(spark, str(tmp_path)).collect()}
+    assert rows == {"good.json": (True, None), "wrong.json": (False, ("syntax", "Syntax")), "cut.json.gz": (False, ("read", "Read"))}
+
+
 def test_chunks_at_every_byte(spark):
     text = '{"é":[1.5e3,"\\ud83d\\ude00€"],\r\n"b":null}'.encode()
     rows = [(f"{k}-{m}", s, text[s * k : (s + 1) * k]) for k in range(1, len(text) + 1) for m in (0,) for s in reversed(range(-(-len(text) // k)))]

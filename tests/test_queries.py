@@ -39,6 +39,7 @@ def test_entry(spark):
     assert {r.event_type for r in entry.entry(spark).collect()}
 
 
-def test_streamed_chunks(spark):
-    rows = queries.queries()["streamed_chunks"](spark, SF).collect()
-    assert len(rows) == 1000 and {r.n_errors for r in rows} == {0} and {r.n_tokens for r in rows} <= {7, 8}
+def test_streams_of_null_and_empty_texts(spark, tmp_path):
+    spark.createDataFrame([(1, '{"k": 1}'), (2, None), (3, ""), (4, "[1,"), (5, "12345678")], "event_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
+    rows = {r.stream_id: tuple(r)[1:] for r in queries.queries()["streamed_chunks"](spark, str(tmp_path)).collect()}
+    assert rows == {"1": (7, 0, 8), "2": (1, 1, 0), "3": (1, 1, 0), "4": (4, 1, 3), "5": (2, 0, 8)}

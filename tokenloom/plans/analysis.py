@@ -7,6 +7,7 @@ sums and searches in sorted arrays, not from a loop over tokens.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 import numpy as np
@@ -28,6 +29,15 @@ for _e, _kinds in ALLOWED.items():
 _PRIMITIVE = np.isin(np.arange(len(KINDS)), [CODE[k] for k in ("LitFalse", "LitNull", "LitTrue", "Num", "Str")])
 
 
+def _looked_up(nodes: np.ndarray, keys: np.ndarray, find: Callable[[int, int], int]) -> np.ndarray:
+    """find(node, key) for each pair, called once for each that differs."""
+    if not len(nodes):
+        return nodes
+    span = int(keys.max()) + 1
+    pairs, back = np.unique(nodes * span + keys, return_inverse=True)
+    return np.array([find(*divmod(p, span)) for p in pairs.tolist()], np.int64)[back]
+
+
 class Tokens:
     """literals: all tokens of the batch; counts: tokens per text; bad: texts whose last token is an error.
 
@@ -140,28 +150,22 @@ class Tokens:
         last = np.where(self.counts > 0, seen[np.maximum(self.first + self.counts - 1, 0)], -1)
         return self._expected(np.where(last >= self.first, last, -1))
 
-    def stops(self, syntax: bool = True) -> tuple[np.ndarray, list[dict | None]]:
-        """Per text the index of the first token that is an error (its count, if none is or it ended early), and the error."""
+    def stops(self, syntax: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Per text the index of the first token that is an error (its count, if none is or it ended early), and whether it fails."""
         wrong = self.kind == ERR
         if syntax and self.n:
             wrong |= (self.kind != WHITE) & ~_MAY[self.expect, self.kind]
             wrong |= np.isin(self.kind, (ARR, OBJ)) & (self.level > self.max_level)
         at = np.flatnonzero(wrong)
         docs, one = np.unique(self.doc[at], return_index=True)
-        stop = self.counts.copy()
-        stop[docs] = at[one] - self.first[docs]
-        errors: list[dict | None] = [None] * len(self.counts)
-        for d in docs.tolist():
-            errors[d] = self._error(d, int(self.first[d] + stop[d]))
+        stop, failed = self.counts.copy(), np.zeros(len(self.counts), bool)
+        stop[docs], failed[docs] = at[one] - self.first[docs], True
         if syntax:
             fine = self.end_expect == _EXPECT["Eof"]
             if self.many:
-                fine |= self.end_expect == _EXPECT["Value"]
-                last = self._trailing()
-                fine &= ~np.isin(last, (NAME_SEP, VALUE_SEP))
-            for d in np.flatnonzero(~fine & (stop == self.counts)).tolist():
-                errors[d] = self._error(d, int(self.first[d] + stop[d]))
-        return stop, errors
+                fine |= (self.end_expect == _EXPECT["Value"]) & ~np.isin(self._trailing(), (NAME_SEP, VALUE_SEP))
+            failed |= ~fine & (stop == self.counts)
+        return stop, failed
 
     def _trailing(self) -> np.ndarray:
         """The kind of each text's last token that isn't white space (White if none)."""
@@ -170,25 +174,57 @@ class Tokens:
         out[self.doc[solid]] = self.kind[solid]
         return out
 
-    def _error(self, d: int, at: int) -> dict:
-        over = at == self.first[d] + self.counts[d]
-        begin = int(self.edge[at])
-        start = self.place(d, begin)
-        stack, opener = [], int(self.leaves[at - 1]) if at > self.first[d] else -1
-        while opener >= 0:
-            stack.append("Obj" if self.kind[opener] == OBJ else "Arr")
-            opener = int(self.inside[opener])
-        out = {"level": len(stack), "stack": stack[::-1], "token_pos": start, "err_pos": start}
-        token = "Eof" if over else KINDS[self.kind[at]]
-        if token == "Err":
-            found = diagnose(self.data[begin : int(self.edge[at + 1])].tobytes())
-            out |= {"class": "lexical", "err_pos": self.place(d, begin + found.pop("at"))} | found
-        elif over or not _MAY[self.expect[at], self.kind[at]]:
-            expect = self.end_expect[d] if over else self.expect[at]
-            out |= {"class": "syntax", "variant": "Syntax", "expect": EXPECTATIONS[expect], "token": token}
-        else:
-            out |= {"class": "level", "variant": "Level", "token": token, "level": self.max_level + 1}
-        return out | {"message": message(out)}
+    def stacks(self, boxes: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+        """How many structures are open in each of boxes (brackets, -1: none), and their kinds, outermost first."""
+        rows, places, open_ = [], [], np.arange(len(boxes))
+        level = np.zeros(len(boxes), np.int64)
+        while len(open_ := open_[boxes[open_] >= 0]):
+            rows.append(open_)
+            places.append(boxes[open_])
+            level[open_] += 1
+            boxes = boxes.copy()
+            boxes[open_] = self.inside[boxes[open_]]
+        if not rows:
+            return level, pa.array([[]] * len(level), pa.list_(pa.string()))
+        place = np.concatenate(places)
+        depth = np.concatenate([level[r] - 1 - i for i, r in enumerate(rows)])
+        order = np.lexsort((depth, np.concatenate(rows)))
+        kinds = pa.array(["Arr", "Obj"]).take(pa.array((self.kind[place[order]] == OBJ).astype(np.int8)))
+        return level, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(level))).astype(np.int32)), kinds)
+
+    def errors(self, docs: np.ndarray, stop: np.ndarray) -> list[dict]:
+        """The errors of texts docs, each at its token stop; positions and stacks are found for all at once."""
+        if not len(docs):
+            return []
+        at = self.first[docs] + stop[docs]
+        over = stop[docs] == self.counts[docs]
+        begin, base = self.edge[at], self.edge[self.first[docs]]
+        behind = stop[docs] > 0
+        level, stacks = self.stacks(np.where(behind, self.leaves[at - 1], -1) if self.n else np.full(len(docs), -1))
+        token = np.where(over, EOF, self.kind[np.minimum(at, self.n - 1)] if self.n else EOF)
+        expect = np.where(over, self.end_expect[docs], self.expect[np.minimum(at, self.n - 1)] if self.n else 0)
+        out, fine, known = [], begin.copy(), {}
+        for i, (k, d, n, stack) in enumerate(zip(token.tolist(), expect.tolist(), level.tolist(), stacks.to_pylist(), strict=True)):
+            e = {"level": n, "stack": stack}
+            if k == ERR:
+                data = self.literal(int(at[i]))
+                found = known.get(data)
+                if found is None:
+                    found = known[data] = diagnose(data)
+                e |= {"class": "lexical"} | found
+                fine[i] += e.pop("at")
+            elif not _MAY[d, k]:
+                e |= {"class": "syntax", "variant": "Syntax", "expect": EXPECTATIONS[d], "token": KINDS[k]}
+            else:
+                e |= {"class": "level", "variant": "Level", "token": KINDS[k], "level": self.max_level + 1}
+            out.append(e)
+        for name, where in (("token_pos", begin), ("err_pos", fine)):
+            line, col = self._lines(base, where)
+            for e, o, a, b in zip(out, (where - base).tolist(), line.tolist(), col.tolist(), strict=True):
+                e[name] = {"offset": o, "line": a, "col": b}
+        for e in out:
+            e["message"] = message(e)
+        return out
 
     @cached_property
     def _continuation(self) -> np.ndarray:
@@ -211,11 +247,6 @@ class Tokens:
         chars = at - line_start - (np.searchsorted(cont, at) - np.searchsorted(cont, line_start))
         return 1 + k - k0, 1 + chars
 
-    def place(self, d: int, at: int) -> dict:
-        start = int(self.edge[self.first[d]])
-        line, col = self._lines(np.array([start]), np.array([at]))
-        return {"offset": at - start, "line": int(line[0]), "col": int(col[0])}
-
     @cached_property
     def offset(self) -> np.ndarray:
         return self.edge[:-1] - self.edge[self.first[self.doc]]
@@ -273,11 +304,11 @@ class Tokens:
                 break
             member = self.kind[self.inside[mine]] == OBJ
             values = mine[member]
-            for v, name in zip(values.tolist(), self.names_of(values).tolist(), strict=True):
-                state[v] = group.member(int(state[self.inside[v]]), self.literal(name))
+            names = self.literals.take(pa.array(self.names_of(values))).dictionary_encode()
+            texts = names.dictionary.to_pylist()
+            state[values] = _looked_up(state[self.inside[values]], names.indices.to_numpy(), lambda node, name: group.member(node, texts[name]))
             values = mine[~member]
-            for v, place in zip(values.tolist(), self.places_of(values).tolist(), strict=True):
-                state[v] = group.element(int(state[self.inside[v]]), place)
+            state[values] = _looked_up(state[self.inside[values]], self.places_of(values), group.element)
         closing = np.flatnonzero(np.isin(self.kind, (ARR_END, OBJ_END)) & (self.inside >= 0) & (self.index - self.first[self.doc] < upto[self.doc]))
         state[closing] = state[self.inside[closing]]
         return state

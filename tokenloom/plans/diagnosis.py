@@ -125,19 +125,19 @@ def message(error: dict) -> str:
     """`<what> at line L, column C (offset: O)`, the position being the token's."""
     where = position_text(*error["token_pos"].values())
     if error["class"] == "syntax":
-        return f"syntax error: expected {EXPECT_TEXT[error['expect']]} but got {DISPLAY[error['token']]} at {where}"
+        return f"syntax error: {DISPLAY[error['token']]} where {EXPECT_TEXT[error['expect']]} belongs at {where}"
     if error["class"] == "level":
-        return f"level error: level {error['level']} would exceed parser's configured maximum on {DISPLAY[error['token']]} at {where}"
+        return f"level error: level {error['level']} exceeds the greatest level allowed, on {DISPLAY[error['token']]} at {where}"
     kind, token = error["variant"], f" in {DISPLAY[error['token']]} token" if error.get("token") else ""
     if kind == "UnexpectedEof":
-        what = f"unexpected EOF{token}"
+        what = f"the text ends{token}"
     elif kind == "UnexpectedByte":
         actual = error["actual"]
-        seen = f"character '{chr(actual)}' (ASCII 0x{actual:02x})" if 0x20 <= actual <= 0x7E else f"byte {actual:02x}"
+        seen = f"'{chr(actual)}' (0x{actual:02x})" if 0x20 <= actual <= 0x7E else f"byte 0x{actual:02x}"
         expect = error["expect"]
-        what = f"expected {LEXICAL_TEXT.get(expect) or repr(expect[5:-1])} but got {seen}{token}"
+        what = f"{seen} where {LEXICAL_TEXT.get(expect) or repr(expect[5:-1])} belongs{token}"
     elif kind == "BadUtf8ContByte":
-        what = f"bad UTF-8 continuation byte 0x{error['actual']:02x} in {error['seq_len']}-byte UTF-8 sequence (byte #{error['byte_no']})"
+        what = f"byte {error['byte_no']} behind the first of a UTF-8 sequence of {error['seq_len']} bytes is 0x{error['actual']:02x}"
     elif error.get("second") is not None:
         what = f"bad surrogate pair: \\u{error['first']:04X} followed by \\u{error['second']:04X}"
     elif error["first"] >= 0xDC00:

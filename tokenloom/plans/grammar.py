@@ -31,15 +31,16 @@ ALLOWED = {
     "Eof": ("Eof",),
 }
 EXPECTATIONS = tuple(ALLOWED)
+#: What a parser may expect, as messages put it.
 EXPECT_TEXT = {
-    "Value": "value",
-    "ObjName": "object member name",
-    "ObjNameOrEnd": "object member name or }",
-    "ObjNameSep": ":",
-    "ObjValueSepOrEnd": ", or }",
-    "ArrElementOrEnd": "array element or ]",
-    "ArrElementSepOrEnd": ", or ]",
-    "Eof": "EOF",
+    "Value": "a value",
+    "ObjName": "a member's name",
+    "ObjNameOrEnd": "a member's name or }",
+    "ObjNameSep": "a colon",
+    "ObjValueSepOrEnd": "a comma or }",
+    "ArrElementOrEnd": "a value or ]",
+    "ArrElementSepOrEnd": "a comma or ]",
+    "Eof": "nothing more",
 }
 
 _HEX = "[0-9A-Fa-f]"

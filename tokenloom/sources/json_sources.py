@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.operators.json_texts import extract
+from tokenloom.operators.json_texts import ERROR, extract, validate
+from tokenloom.plans.diagnosis import position_text
 
 #: What RFC 7464 puts before each text.
 RECORD_SEPARATOR = "\x1e"
@@ -23,9 +26,28 @@ def json_sequences(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.trim(F.translate("text", "\t\r\n", "   ")) != "")
 
 
-def json_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text): a text a file."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+def json_files(spark: SparkSession, path: str, skip_unreadable: bool = False) -> DataFrame:
+    """(path, text): a text a file.  A file that can't be read fails the job, or is left out; `read_errors` lists those."""
+    read = spark.read.option("ignoreCorruptFiles", skip_unreadable).option("ignoreMissingFiles", skip_unreadable)
+    return read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def read_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(path, err): the files below path that can't be read as text (a compressed file cut short, say), as errors of class read.
+
+    Every file is read once to know.  How much of a file was good isn't known, so positions are its start.
+    """
+    listed = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"))
+    missing = listed.join(json_files(spark, path, True).select("path"), "path", "left_anti")
+    start = {"offset": 0, "line": 1, "col": 1}
+    err = {"class": "read", "variant": "Read", "token_pos": start, "err_pos": start, "message": f"read error at {position_text(0, 1, 1)}"}
+    return missing.select("path", F.from_json(F.lit(json.dumps(err)), ERROR).alias("err"))
+
+
+def validated_files(spark: SparkSession, path: str, **options) -> DataFrame:
+    """(path, is_valid, err): a row a file; files that can't be read are invalid by an error of class read."""
+    good = validate(json_files(spark, path, True), columns=["is_valid", "err"], **options)
+    return good.unionByName(read_errors(spark, path).withColumn("is_valid", F.lit(False)))
 
 
 def json_bytes(spark: SparkSession, path: str) -> DataFrame:
@@ -49,4 +71,4 @@ def joined_chunks(chunks: DataFrame) -> DataFrame:
     """
     ordered = F.array_sort(F.collect_set(F.struct("seq", F.coalesce("chunk", F.lit(b"")).alias("chunk"))))
     groups = chunks.groupBy("stream_id").agg(ordered.alias("parts"))
-    return groups.select("stream_id", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["chunk"])).alias("text"))
+    return groups.select("stream_id", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["chunk"])), "")).alias("text"))

@@ -7,6 +7,7 @@ position, and the parser's stack.  A chunk may end at any byte.
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -18,6 +19,7 @@ from tokenloom.plans.analysis import _FIRST
 from tokenloom.plans.diagnosis import diagnose, message
 from tokenloom.plans.grammar import ALLOWED, KINDS, TOKEN_BYTES, WHOLE_BYTES
 
+_STOPS = re.compile(rb'["\\\x00-\x1f\x80-\xff]')
 SCHEMA = "stream_id string, text_no long, i long, kind string, literal string, offset long, line long, col long, level long, message string"
 
 
@@ -113,10 +115,16 @@ def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, many: b
         for seq, chunk, eof in zip(frame["seq"], frame["chunk"], frame["eof"], strict=True):
             if seq >= p.next:
                 p.early[int(seq)] = (bytes(chunk) if chunk is not None else b"", bool(eof))
+    came = []
     while p.next in p.early:
         chunk, eof = p.early.pop(p.next)
-        p.tail, p.ended, p.next = p.tail + chunk, p.ended or eof, p.next + 1
-    rows = [] if p.failed else _advance(p, many, max_level)
+        came.append(chunk)
+        p.ended, p.next = p.ended or eof, p.next + 1
+    fresh = b"".join(came)
+    p.tail += fresh
+    # nothing that could end or break an open string has come: no need to lex it from its start again
+    waits = not p.ended and p.tail[:1] == b'"' and len(fresh) < len(p.tail) and not _STOPS.search(fresh)
+    rows = [] if p.failed or waits else _advance(p, many, max_level)
     if p.failed:
         p.tail, p.early = b"", {}
     state.update((pickle.dumps(p),))
