@@ -17,7 +17,7 @@ from tokenloom.operators import json_texts as js
 from tokenloom.operators.native import literals, token_rows
 from tokenloom.plans.grammar import KINDS
 from tokenloom.sources.json_sources import RECORD_SEPARATOR, concatenated, joined_chunks, json_bytes, json_files, json_lines, json_sequences, validated_files
-from tokenloom.sources.shared import fresh_path
+from tokenloom.sources.shared import fresh_path, spread
 
 #: name -> (query, SQL or None)
 _FOUND: dict[str, tuple[Callable, str | None]] = {}
@@ -36,7 +36,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").select("event_id", F.col("props").alias("text"))
+    return spread(_table(spark, sf_dir, "events").select("event_id", F.col("props").alias("text")))
 
 
 def _text(*parts) -> F.Column:
@@ -49,7 +49,7 @@ _ORDER_SQL = """SELECT o_orderkey AS id, '{"key": ' || o_orderkey || ',"cust":{"
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _table(spark, sf_dir, "orders")
+    o = spread(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     text = _text('{"key": ', key, ',"cust":{"id":', cust, ',"tags":["', F.col("o_orderstatus"), '",', cust % 7, ']},\n "a\\u002fb":"', F.col("o_orderpriority"), '\\n","key":', key % 10, "}")
     return o.select(key.alias("id"), text.alias("text"))
@@ -97,7 +97,7 @@ _BAD_SQL = "SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN '{\"a\":' |
 
 
 def _mixed(spark, sf_dir) -> DataFrame:
-    o = _table(spark, sf_dir, "orders")
+    o = spread(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     forms = [_text('{"a":', cust, "}"), _text('{"a":', cust), _text("[", cust, ",]"), _text("[0", cust, "]"), _text('["', F.col("o_orderstatus"), '" ', cust, "]"), F.lit("[tru]")]
     text = forms[-1]
@@ -367,7 +367,7 @@ _FLAGSHIP = "SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(prop
 @_query(_FLAGSHIP)
 def pointer_agg_by_type(spark, sf_dir):
     """Values at /k, matched by a pointer, parsed and summed by event type."""
-    events = _table(spark, sf_dir, "events").select("event_type", F.col("props").alias("text"))
+    events = spread(_table(spark, sf_dir, "events").select("event_type", F.col("props").alias("text")))
     found = js.pointer_events(events, ["/k"], columns=["event", "literal"]).where("event = 'Match'")
     return found.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(scalars.parse_i64(F.col("literal"))["value"]).alias("sum_k"))
 
