@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import duckdb
@@ -358,10 +359,14 @@ def test_secret_spans_and_ledger(spark, docs, texts):
         told = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
         assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest(), (texts_by[r.doc_id], r.spans, told)
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for k, _, _ in want) for x in secret_scan.BASE)
-    assert ledger.add(df) == 0  # nothing unseen
+    assert ledger.add(df)[0] == 0  # nothing unseen
     more = spark.createDataFrame([(99, "token=brandnew", "x"), (100, SECRETS[0], "x")], df.schema)
-    assert ledger.add(df.unionByName(more)) == 1
-    assert ledger.add(df, version="2") == len({t or "" for t in texts_by.values()})
+    assert ledger.add(df.unionByName(more))[0] == 1
+    assert ledger.add(df, version="2")[0] == len({t or "" for t in texts_by.values()})
+    changed = spark.createDataFrame([(99, "no longer there", "x")], df.schema)
+    assert ledger.add(changed)[0] == 1
+    old = [r for r in ledger.history(secret_scan.RULES_VERSION).collect() if r.doc_id == 99]
+    assert [s.kind for r in old for s in r.spans] == ["assign"]  # what the path held once is kept
     assert secret_scan.findings(df.where("doc_id > 1000")).count() == 0
 
 
@@ -372,6 +377,22 @@ def test_redaction(spark):
     assert (out[2].text, out[3].text, out[4].text) == ("clean text", None, "[SECRET] end")
 
 
+def test_many_secrets_and_long_runs_take_linear_time(spark):
+    many = "é token=abcdef1 x " * 60_000
+    runs = "eyJ" * 40_000
+    jwt = "eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 12
+    texts = [many, runs, "eyJ-" * 30_000 + " " + jwt, jwt + "." + jwt, "eyJshort.eyJ" + "b" * 12 + "." + "c" * 12, "x " + "eyJ" + "a" * 12 + "." + jwt]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    out = {r.doc_id: r.text for r in secret_scan.redacted_documents(df).collect()}
+    assert time.time() - began < 60
+    assert out[0] == "é [SECRET] x " * 60_000 and out[1] == runs and out[2] == "eyJ-" * 30_000 + " [SECRET]"
+    assert out[3] == "[SECRET].[SECRET]"
+    assert out[4] == texts[4] and out[5].startswith("x [SECRET]")
+    plan = secret_scan.redacted_documents(df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Python" not in plan
+
+
 def test_whole_private_keys(spark):
     rng = random.Random(8)
     line = lambda n: "".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(n))

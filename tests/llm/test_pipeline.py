@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def masked(text, mask="[SECRET]"):
-    spans = sorted((m.start(), i, m.end()) for i, r in enumerate(secret_scan.RULES) for m in re.finditer(r.pattern, text) if len(m[r.group]) >= r.least)
+    spans = sorted((m.start(), i, m.end()) for i, r in enumerate(secret_scan.RULES) for m in re.finditer(r.pattern, text) if len(m[r.group] or "") >= r.least)
     out, at = "", 0
     for start, _, end in spans:
         if start >= at:
