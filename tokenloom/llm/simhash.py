@@ -3,7 +3,7 @@
 A fingerprint of 64 bits is eight positional bytes.  Two fingerprints that differ in at most four
 bits differ in at most four bytes, so at least four positional bytes are shared: that is the
 guaranteed count.  Candidates come from posting lists, the bytes that a pair shares are tallied, pairs
-below the count are dropped and the rest are verified bit by bit.
+below the count are dropped and the rest alone are verified bit by bit, each in the first list it is in.
 
 A posting list of one byte holds 1/256 of any corpus, so tallying over single bytes would look at
 N*N/32 pairs.  The lists here are keyed by three positional bytes: of the 56 triples of positions, 20 are
@@ -99,17 +99,38 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     return texts.mapInArrow(partial(_fingerprints, shingle=shingle, seed=seed), "doc_id long, fp long")
 
 
-def _star(fps: np.ndarray) -> tuple[list[int], list[int]]:
-    """Edges from each linked member of a posting list to the member its group was found from."""
+#: For each set of shared positions (a bit for each), the number of the first triple in it; none: -1.
+FIRST = np.array([next((i for i, three in enumerate(TRIPLES) if all(shared >> p & 1 for p in three)), -1) for shared in range(256)], np.int8)
+_LIST = {mask: i for i, mask in enumerate(MASKS)}
+
+
+def tallied(apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of some pairs, given as the XOR of their fingerprints, share MIN_BYTES positional bytes or more, and which positions these share."""
+    same = np.packbits(apart.view(np.uint8).reshape(-1, 8) == 0, axis=1, bitorder="little").ravel()
+    kept = np.flatnonzero(np.bitwise_count(same) >= MIN_BYTES)
+    return kept, same[kept]
+
+
+def _near(apart: np.ndarray, own: int | None) -> np.ndarray:
+    """The pairs of posting list `own` that link: by their tally, then bit by bit, each in the first list that holds both."""
+    kept, same = tallied(apart)
+    if own is not None:
+        kept = kept[FIRST[same] == own]
+    return kept[np.bitwise_count(apart[kept]) <= MAX_BITS]
+
+
+def _star(fps: np.ndarray, own: int | None = None) -> tuple[list[int], list[int]]:
+    """Edges from each linked member of a posting list to the member its group was found from.
+
+    own: the list's triple, where a pair is left to the first list that both are in; None for split lists.
+    """
     rest, us, vs = fps, [], []
     while len(rest) > 1:
         root, todo, rest = rest[0], [rest[0]], rest[1:]
         while todo and len(rest):
-            apart = rest ^ todo.pop()
-            shared = (apart.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)  # the tally of positional bytes
-            near = (shared >= MIN_BYTES) & (np.bitwise_count(apart) <= MAX_BITS)
-            if near.any():
-                found, rest = rest[near], rest[~near]
+            near = _near(rest ^ todo.pop(), own)
+            if len(near):
+                found, rest = rest[near], np.delete(rest, near)
                 todo.extend(found)
                 us.extend(found.tolist())
                 vs.extend([root] * len(found))
@@ -126,7 +147,7 @@ def _link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         long = ends - starts > 1
         us, vs = [], []
         for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
-            more = _star(fp[a:b])
+            more = _star(fp[a:b], _LIST.get(int(mask[a]) & (1 << 64) - 1))
             us += more[0]
             vs += more[1]
         out = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (us, vs)]
@@ -185,7 +206,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, c
     """(doc_id, text) -> (doc_id, fp, component_id), one row per input row.
 
     component_id is the smallest doc_id reachable over links of 4 differing bits or fewer, the row's own
-    included.  Null and wordless texts have fingerprint 0 and link like any other.  Repeated rows stay.  A
+    included; ids are cast to long.  Null and wordless texts have fingerprint 0 and link like any other.  Repeated rows stay.  A
     null doc_id keeps its row and never names a component (null where its whole component has none).
     """
     fps = stage(fingerprints(docs, shingle, seed), "simhash-fp")
