@@ -143,6 +143,22 @@ def test_links_of_dense_groups(spark, cap):
     assert len({roots[p] for p in prints if p in roots}) == sum(len(m) > 1 for m in groups.values())
 
 
+def test_the_tally_prunes_before_pairs_are_verified():
+    rng = np.random.default_rng(3)
+    some = rng.integers(0, 1 << 63, 4000, np.uint64) << np.uint64(1)
+    apart = some & ~np.uint64(simhash.MASKS[0])  # what members of one list differ by
+    kept, same = simhash.tallied(apart)
+    assert 0 < len(kept) < 0.05 * len(apart) and (np.bitwise_count(same) >= 4).all()
+    near = np.flatnonzero(np.bitwise_count(apart) <= 4)
+    assert set(near) <= set(kept)
+    prints = np.array(near_prints(400), np.uint64)
+    pairs = [(i, j) for i in range(len(prints)) for j in range(i) if int(prints[i] ^ prints[j]).bit_count() <= 4]
+    for i, j in pairs[:3000]:  # each pair counts in one list, the first that both are in
+        lists = [k for k, m in enumerate(simhash.MASKS) if int(prints[i]) & m == int(prints[j]) & m]
+        hits = [k for k in lists if len(simhash._near(prints[[i]] ^ prints[j], k))]
+        assert hits == lists[:1]
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1000), (7, 7), (None, 3)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -330,6 +346,33 @@ def test_contamination(spark, options):
     assert clean == {i for i, r in got.items() if r.n_hit == 0}
 
 
+def test_suffixes_are_sorted_and_neighbours_give_the_longest_match():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        words = np.append(rng.integers(0, 4, 80), 0)
+        array = decontaminate.suffix_array(words, 100)
+        runs = [words[i : i + int(np.flatnonzero(words[i:] == 0)[0])].tolist() for i in array.tolist()]
+        assert sorted(array.tolist()) == np.flatnonzero(words).tolist() and runs == sorted(runs)
+        test = np.append(words[array[len(array) // 2] :][:5], 0)
+        if test[0] and test[1]:
+            places = array[[r[:2] == test[:2].tolist() for r in runs]]
+            got = decontaminate.match_lengths(words, places, test, 0, 2)
+            stop = np.flatnonzero(test == 0)[0]
+            assert got.tolist() == [next((n for n in range(stop) if words[p + n] != test[n]), stop) for p in places.tolist()]
+
+
+def test_blocks_of_the_benchmark_are_held_one_at_a_time(spark):
+    items = [(i, " ".join(f"b{i}x{k}" for k in range(400))) for i in range(60)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    texts = [f"start {items[i][1]} and {items[(i + 7) % 60][1][:2000]}" for i in range(60)] + ["clean text"] * 5
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, note string")
+    several = {r.doc_id: r for r in decontaminate.contamination(df, benchmark, block_bytes=20_000).collect()}
+    one = {r.doc_id: r for r in decontaminate.contamination(df, benchmark).collect()}
+    assert several == one and len(one[3].item_ids) == 2 and one[61].n_hit == 0 and one[3].longest == 400
+    sizes = [len(b.value.words) for b in decontaminate.test_blocks(benchmark, block_bytes=20_000)]
+    assert len(sizes) > 5 and max(sizes) < 0.5 * sum(sizes)
+
+
 def test_contamination_edges(spark, docs, nothing):
     benchmark = spark.createDataFrame([(1, "one")], "item_id long, text string")
     assert [r.doc_id for r in decontaminate.contamination(docs.select("doc_id", "text"), benchmark).where("n_hit > 0").collect()] == [3]

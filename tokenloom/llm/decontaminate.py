@@ -2,12 +2,14 @@
 
 The training words are cut into shards, one per batch of documents in a task.  In a shard, words become
 the ids they have in the benchmark's vocabulary, and any other word is a break, for no match can hold
-one.  The suffixes of the shard that run on for a whole window are sorted into its suffix array; each
-test suffix is found in it by binary search, which gives all the places its window stands at and, from
-its neighbours, the longest verbatim match and where it is.
-
-Nothing is shuffled.  The test side is read in blocks of bounded size, each a broadcast of its own, and a
-shard is searched for one after the other, so no block grows with the corpus or with the benchmark.
+one.  All suffixes of the runs that a window fits in are sorted into the shard's suffix array (by doubling
+prefixes, up to the length of the longest item); each test suffix is found in it by binary search, which gives
+all the places its window stands at, and, as the search goes on word by word between neighbours, how far each
+place's verbatim match goes.
+
+The test side is read in blocks of bounded size, each broadcast.  One block, the common case, is searched for
+where the documents lie and nothing is shuffled.  More take a pass over the documents each, so that neither the
+driver nor a worker ever holds two; what the passes found is joined by row.
 """
 
 from __future__ import annotations
@@ -15,13 +17,17 @@ from __future__ import annotations
 import string
 from collections.abc import Iterable, Iterator
 from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.llm.common import stage
+
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
 _KEPT = (string.ascii_letters + string.digits).encode() + bytes(range(0x80, 0x100))
@@ -56,7 +62,7 @@ class Block:
             words += [*own, 0]
         self.words = np.array(words, np.int32)
         self.starts, self.widths, self.owners = (np.array(x, np.int64) for x in (starts, widths, owners))
-        self.window = window
+        self.longest = max((b - a for a, b in pairwise([-1, *np.flatnonzero(self.words == 0).tolist()])), default=1) - 1
         self.bits = max(1, len(self.ids).bit_length())
 
 
@@ -83,18 +89,34 @@ def _bounds(keys: list[np.ndarray], wanted: list[np.uint64], lo: int, hi: int) -
     return lo, hi
 
 
-def _common(a: np.ndarray, i: int, b: np.ndarray, j: int) -> int:
-    """How many words two suffixes share from their start on; a break ends both."""
-    n, step = 0, 64
-    while True:
-        x, y = a[i + n : i + n + step], b[j + n : j + n + step]
-        m = min(len(x), len(y))
-        if m == 0:
-            return n
-        stop = np.flatnonzero((x[:m] != y[:m]) | (x[:m] == 0))
-        if len(stop):
-            return n + int(stop[0])
-        n, step = n + m, step * 2
+def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
+    """The places of words other than 0, sorted by the words from there on, up to depth of them; a 0 ends a suffix."""
+    rank, k = words.astype(np.int64), 1
+    solid = words > 0
+    total = int(solid.sum())
+    while k < depth:
+        behind = np.concatenate((rank[k:], np.zeros(min(k, len(rank)), np.int64)))
+        kinds, rank = np.unique(np.where(solid, rank * (int(rank.max(initial=0)) + 1) + behind, 0), return_inverse=True)
+        k *= 2
+        if len(kinds) >= total + (total < len(words)):
+            break
+    order = np.argsort(rank, kind="stable")
+    return order[solid[order]]
+
+
+def match_lengths(shard: np.ndarray, places: np.ndarray, words: np.ndarray, start: int, depth: int) -> np.ndarray:
+    """How many words each suffix at places shares with the test suffix at start; depth of them it is known to.
+
+    places: neighbours in the suffix array, so at each further word those that go on are between two bounds.
+    """
+    out, lo, hi = np.full(len(places), depth), 0, len(places)
+    while lo < hi:
+        out[lo:hi] = depth
+        if not (word := words[start + depth]):
+            break
+        column = shard[places[lo:hi] + depth]
+        lo, hi, depth = lo + int(column.searchsorted(word, "left")), lo + int(column.searchsorted(word, "right")), depth + 1
+    return out
 
 
 def _matches(shard: np.ndarray, block: Block) -> Iterator[tuple[np.ndarray, int, int, int]]:
@@ -102,16 +124,24 @@ def _matches(shard: np.ndarray, block: Block) -> Iterator[tuple[np.ndarray, int,
 
     shard: word ids in the block's vocabulary, 0 for any other word and behind each document.
     """
-    known = shard > 0
-    place = np.arange(len(shard))
-    run = place - np.maximum.accumulate(np.where(known, -1, place))
+    if not len(block.widths):
+        return
+    known = np.concatenate(([False], shard > 0, [False]))
+    edges = np.flatnonzero(known[1:] != known[:-1])
+    begins, ends = edges[::2], edges[1::2]
+    wide = ends - begins >= block.widths.min()
+    begins, ends = begins[wide], ends[wide]
+    if not len(begins):
+        return
+    # the runs that some window fits in, each with the break behind it, one behind the other
+    size = ends - begins + 1
+    at = np.arange(int(size.sum())) + np.repeat(begins - (np.cumsum(size) - size), size)
+    left = np.repeat(ends, size) - at
+    array = suffix_array(np.where(left > 0, shard[np.minimum(at, len(shard) - 1)], 0), block.longest)
+    array, left = at[array], left[array]
     for width in np.unique(block.widths).tolist():
-        at = np.flatnonzero(known & (run >= width)) - (width - 1)  # suffixes that run on for a whole window
-        if not len(at):
-            continue
-        keys = _keys(shard, at, width, block.bits)
-        order = np.lexsort(keys[::-1])
-        array, keys = at[order], [k[order] for k in keys]  # the suffix array and what it is sorted by
+        own = array[left >= width]  # suffixes that run on for a whole window
+        keys = _keys(shard, own, width, block.bits)
         mine = np.flatnonzero(block.widths == width)
         tests = _keys(block.words, block.starts[mine], width, block.bits)
         lows = keys[0].searchsorted(tests[0], "left")
@@ -119,36 +149,35 @@ def _matches(shard: np.ndarray, block: Block) -> Iterator[tuple[np.ndarray, int,
         for t in np.flatnonzero(lows < highs).tolist():
             lo, hi = _bounds(keys[1:], [k[t] for k in tests[1:]], int(lows[t]), int(highs[t]))
             if lo < hi:
-                yield array[lo:hi], width, int(block.owners[mine[t]]), int(block.starts[mine[t]])
+                yield own[lo:hi], width, int(block.owners[mine[t]]), int(block.starts[mine[t]])
 
 
-def _shard_rows(docs: list[list[bytes]], blocks: list[Broadcast]) -> list[dict]:
+def _shard_rows(docs: list[list[bytes]], block: Block) -> list[dict]:
     lengths = np.array([len(d) for d in docs], np.int64)
     first = np.cumsum(lengths + 1) - lengths - 1
     total = int((lengths + 1).sum())
     marks = np.zeros(total + 1, np.int32)
     items: list[set] = [set() for _ in docs]
     best: list[tuple] = [(0, None, None)] * len(docs)
-    for sent in blocks:
-        block = sent.value
-        get = block.ids.get
-        shard = np.zeros(total, np.int32)
-        for at, words in zip(first.tolist(), docs, strict=True):
-            shard[at : at + len(words)] = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
-        pairs = []
-        for places, width, owner, start in _matches(shard, block):
-            np.add.at(marks, places, 1)
-            np.add.at(marks, places + width, -1)
-            of = np.searchsorted(first, places, "right") - 1
-            pairs.append(np.unique(of) * len(block.names) + owner)
-            before = shard[places - 1] * (places > 0)  # a match that goes on to the left was measured there
-            opens = (before != block.words[start - 1]) | (before == 0) if start else np.ones(len(places), bool)
-            for d, p in zip(of[opens].tolist(), places[opens].tolist(), strict=True):
-                n = _common(shard, p, block.words, start)
+    get = block.ids.get
+    shard = np.zeros(total, np.int32)
+    for at, words in zip(first.tolist(), docs, strict=True):
+        shard[at : at + len(words)] = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
+    pairs = []
+    for places, width, owner, start in _matches(shard, block):
+        np.add.at(marks, places, 1)
+        np.add.at(marks, places + width, -1)
+        of = np.searchsorted(first, places, "right") - 1
+        pairs.append(np.unique(of) * len(block.names) + owner)
+        before = shard[places - 1] * (places > 0)  # a match that goes on to the left was measured there
+        opens = np.flatnonzero((before != block.words[start - 1]) | (before == 0)) if start else np.arange(len(places))
+        if len(opens):
+            sizes = match_lengths(shard, places, block.words, start, width)[opens]
+            for d, p, n in zip(of[opens].tolist(), places[opens].tolist(), sizes.tolist(), strict=True):
                 if n > best[d][0]:
                     best[d] = (n, block.names[owner], p - int(first[d]))
-        for pair in np.unique(np.concatenate(pairs)).tolist() if pairs else ():
-            items[pair // len(block.names)].add(block.names[pair % len(block.names)])
+    for pair in np.unique(np.concatenate(pairs)).tolist() if pairs else ():
+        items[pair // len(block.names)].add(block.names[pair % len(block.names)])
     covered = np.cumsum(marks)[:-1] > 0
     edges = np.diff(np.concatenate(([0], covered.astype(np.int8), [0])))
     opens, closes = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
@@ -162,9 +191,11 @@ def _shard_rows(docs: list[list[bytes]], blocks: list[Broadcast]) -> list[dict]:
     ]
 
 
-def _search(batches: Iterable[pa.RecordBatch], blocks: list[Broadcast], shard_words: int) -> Iterator[pa.RecordBatch]:
-    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-    added = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("longest", pa.int64()), ("longest_item", pa.string()), ("longest_at", pa.int64()), ("spans", pa.list_(span))]
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+_ADDED = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("longest", pa.int64()), ("longest_item", pa.string()), ("longest_at", pa.int64()), ("spans", pa.list_(_SPAN))])
+
+
+def _search(batches: Iterable[pa.RecordBatch], block: Broadcast, shard_words: int, hits_only: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index("_text")).cast(pa.binary())
         rest = batch.drop_columns(["_text"])
@@ -173,27 +204,42 @@ def _search(batches: Iterable[pa.RecordBatch], blocks: list[Broadcast], shard_wo
             docs.append(words_of(text.as_py()))
             n += len(docs[-1])
             if n >= shard_words or i == len(texts) - 1:
-                rows = pa.RecordBatch.from_pylist(_shard_rows(docs, blocks), schema=pa.schema(added))
+                rows = pa.RecordBatch.from_pylist(_shard_rows(docs, block.value), schema=_ADDED)
                 part = rest.slice(begun, len(docs))
-                yield pa.RecordBatch.from_arrays([*part.columns, *rows.columns], schema=pa.schema([*part.schema, *rows.schema]))
+                out = pa.RecordBatch.from_arrays([*part.columns, *rows.columns], schema=pa.schema([*part.schema, *rows.schema]))
+                yield out.filter(pc.greater(out.column("n_hit"), 0)) if hits_only else out
                 docs, begun, n = [], i + 1, 0
 
 
-def test_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[Broadcast]:
-    """The benchmark (item_id, text) as broadcasts of about block_bytes of text each.
+def test_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[Broadcast]:
+    """The benchmark (item_id, text) as broadcasts of about block_bytes of text each, one behind the other.
 
-    The driver holds one block at a time.  Items with null or wordless text have no window.
+    Items are dealt to blocks by their hash, and the driver holds one block at a time.  Items with null or
+    wordless text have no window.  No items give one block without any.
     """
-    context = benchmark.sparkSession.sparkContext
-    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string").cast("binary").alias("text")).where("text is not null")
-    blocks, held, size = [], [], 0
-    for item_id, text in rows.toLocalIterator():
-        held.append((item_id, bytes(text)))
-        size += len(text)
-        if size >= block_bytes:
-            blocks.append(context.broadcast(Block(held, window)))
-            held, size = [], 0
-    return blocks + [context.broadcast(Block(held, window))] * bool(held)
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).where("text is not null")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-size // block_bytes))
+    dealt = rows.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    for i in range(n):
+        held = [(r.item_id, bytes(r.text)) for r in dealt.where(F.col("_block") == i).collect()]  # block_bytes or so
+        yield benchmark.sparkSession.sparkContext.broadcast(Block(held, window))
+
+
+def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with what several blocks found, as lists of it, to one row each."""
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            spans: list[dict] = []
+            for s in sorted((s for f in row["found"] for s in f["spans"]), key=lambda s: s["start"]):
+                if spans and s["start"] <= spans[-1]["end"]:
+                    spans[-1]["end"] = max(spans[-1]["end"], s["end"])
+                else:
+                    spans.append(dict(s))
+            best = max(row["found"], key=lambda f: f["longest"])
+            out.append({"_row": row["_row"], "n_hit": sum(s["end"] - s["start"] for s in spans), "item_ids": sorted({x for f in row["found"] for x in f["item_ids"]}), **{k: best[k] for k in ("longest", "longest_item", "longest_at")}, "spans": spans})
+        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("_row", pa.int64()), *list(_ADDED)[1:]]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_words: int = _SHARD_WORDS) -> DataFrame:
@@ -202,15 +248,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     n_words; n_hit (words inside any occurrence of an item's window: `window` consecutive words, or the whole
     of a shorter item); item_ids (of items with such windows, sorted as strings); longest, longest_item and
     longest_at (the longest verbatim match found, in words, whose it is and at which word it starts); spans (of
-    hit words).  Null text has no words.  Items with a null id count in n_hit and have no id to list.
+    hit words).  Null text has no words.  Items with a null id count in n_hit and have no id to list.  Repeated
+    rows stay, no rows give none, and other columns named like these are an error.
     """
-    taken = {"_text", *(x.split()[0] for x in _OUT.split(", "))}
+    taken = {"_text", "_row", *(x.split()[0] for x in _OUT.split(", "))}
     rest = [c for c in docs.columns if c != "text"]
     if clash := taken & {c.lower() for c in rest}:
         raise ValueError(f"columns named {sorted(clash)}: rename them first")
     texts = docs.select(*rest, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "_text"), _OUT])
-    return texts.mapInArrow(partial(_search, blocks=test_blocks(benchmark, window, block_bytes), shard_words=shard_words), schema)
+    declared = lambda df: [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "_text"]
+    blocks = test_blocks(benchmark, window, block_bytes)
+    block, more = next(blocks), next(blocks, None)
+    if more is None:
+        return texts.mapInArrow(partial(_search, block=block, shard_words=shard_words), ", ".join([*declared(texts), _OUT]))
+    rows = stage(texts.withColumn("_row", F.monotonically_increasing_id()), "contamination-rows")
+    names, found = [x.split()[0] for x in _OUT.split(", ")], None
+    while block is not None:
+        part = rows.select("_row", "_text").mapInArrow(partial(_search, block=block, shard_words=shard_words, hits_only=True), f"_row long, {_OUT}")
+        part = stage(part, "contamination-hits")
+        found = part if found is None else found.unionByName(part)
+        block.destroy()
+        block, more = more, next(blocks, None)
+    lists = found.groupBy("_row").agg(F.collect_list(F.struct(*names[1:])).alias("found"))  # an entry for each block at most
+    merged = stage(lists.mapInArrow(_merged, "_row long, " + _OUT.split(", ", 1)[1]), "contamination-merged")
+    counted = rows.select("*", F.size(F.filter(F.split(F.regexp_replace("_text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "), " "), lambda w: w != "")).cast("long").alias("n_words")).drop("_text")
+    joined = counted.join(merged, "_row", "left")
+    none = {"n_hit": F.lit(0).cast("long"), "longest": F.lit(0).cast("long"), "item_ids": F.array().cast("array<string>"), "spans": F.array().cast(dict(merged.dtypes)["spans"])}
+    return joined.select(*rest, *(F.coalesce(n, none[n]).alias(n) if n in none else n for n in names))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
