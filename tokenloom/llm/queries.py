@@ -29,16 +29,19 @@ LIST_ENTRIES = [
     ("optout", "tiontion.example.com", "add", "2024-01-01 00:00:00"),
     ("optout", "tiontion.example.com", "remove", "2024-12-24 00:00:00"),
     ("optout", "example.net", "add", "2024-12-01 00:00:00"),
+    ("paths", "Example.ORG./en/", "ADD", "2024-03-01 00:00:00"),
+    ("paths", "example.com/fr", "add", "2024-01-01 00:00:00"),
 ]
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages against the list as of their fetch, an instant of 2024 derived from page_id (pages have none)."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
-    fetched = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("page_id") * 7919, F.lit(8784)) * 3600)
+    hours = F.pmod(F.col("page_id") * 7919, F.lit(8784))
+    told = (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=hours.cast("int"))).cast("string")  # UTC, whatever the session's zone
     entries = spark.createDataFrame(LIST_ENTRIES, "list_name string, domain string, action string, at string")
-    out = url_filters.as_of(pages.withColumn("fetched", fetched), entries)
-    return out.select("page_id", "host", F.date_format("fetched", "yyyy-MM-dd HH:mm:ss").alias("fetched"), "n_active", "active_lists", "blocked")
+    out = url_filters.as_of(pages.withColumns({"told": told, "fetched": F.timestamp_seconds(F.lit(1704067200) + hours * 3600)}), entries)
+    return out.select("page_id", "host", F.col("told").alias("fetched"), "n_active", "active_lists", "blocked")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,26 +16,57 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.common import stage
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+_AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^\[\]/:?#]+)(?::[0-9]*)?"
+HOST = _AUTHORITY + r"(?:[/?#]|$)"
+PATH = _AUTHORITY + r"(/[^?#]*)"
+ACTIONS = ("add", "remove")
+_DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+_ZONED = r"(?:Z|[+-][0-9]{2}:?[0-9]{2})$"
 
 
 def host_of(url: Column) -> Column:
-    """The lower-case host of a URL without its trailing dot; null where there is none."""
+    """The lower-case host of a URL without its trailing dot (an IPv6 address in its brackets); null where there is none."""
     return F.nullif(F.rtrim(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(".")), F.lit(""))
 
 
+def path_of(url: Column) -> Column:
+    """The path of a URL, without query and fragment, at least a slash."""
+    return F.coalesce(F.nullif(F.regexp_extract(url, PATH, 2), F.lit("")), F.lit("/"))
+
+
+def normalised(entries: DataFrame) -> DataFrame:
+    """(list_name, domain, action, at) -> (list_name, domain, prefix, action, at), one spelling for each entry.
+
+    domain is a host or domain, or one with a path (a scheme before it is ignored); it is compared in lower
+    case, without blanks around it and without a trailing dot.  prefix: the path without its last slash, as
+    it is written, empty for a whole domain.  action: add or remove in any case; any other is an error, found
+    before anything is filtered.  at: a timestamp, or text that is UTC unless it names its zone.  Entries with a null in
+    any column, or without a domain, are left out.
+    """
+    text = dict(entries.dtypes)["at"] == "string"
+    spelled = F.trim(F.regexp_replace("domain", "^\\s*[A-Za-z][A-Za-z0-9+.-]*://", ""))
+    domain = F.rtrim(F.lower(F.regexp_extract(spelled, r"^(\[[^\]]*\]|[^/:?#]+)", 1)), F.lit("."))
+    prefix = F.rtrim(F.regexp_extract(spelled, r"^[^/]*(/[^?#]*)", 1), F.lit("/"))
+    told = F.trim("at")
+    zoned = F.when(told.rlike(_DAY), F.concat(told, F.lit(" 00:00:00+00:00"))).when(told.rlike(_ZONED), told).otherwise(F.concat(told, F.lit("+00:00")))
+    at = F.to_timestamp(zoned) if text else F.col("at").cast("timestamp")
+    rows = entries.select("list_name", domain.alias("domain"), prefix.alias("prefix"), F.lower(F.trim("action")).alias("action"), at.alias("at")).dropna().where("domain <> ''")
+    if unknown := [r.action for r in rows.select("action").distinct().where(~F.col("action").isin(*ACTIONS)).limit(5).collect()]:
+        raise ValueError(f"actions {unknown}: only add and remove are known")
+    return rows
+
+
 def intervals(entries: DataFrame) -> DataFrame:
-    """(list_name, domain, action, at) -> (list_name, domain, valid_from, valid_to), valid_to exclusive, null if open.
+    """(list_name, domain, action, at) -> (list_name, domain, prefix, valid_from, valid_to), valid_to exclusive, null if open.
 
-    action is `add` or `remove`.  At one instant a removal wins over an addition; repeated entries change
-    nothing; an entry with a null in any column is left out.  Domains are compared in lower case.
+    At one instant a removal wins over an addition; repeated entries change nothing.  See `normalised`.
     """
-    rows = entries.select("list_name", F.lower("domain").alias("domain"), "action", F.col("at").cast("timestamp").alias("at")).dropna()
-    last = rows.groupBy("list_name", "domain", "at").agg(F.max("action").alias("action"))  # remove > add
-    by = Window.partitionBy("list_name", "domain").orderBy("at")
+    key = ("list_name", "domain", "prefix")
+    last = normalised(entries).groupBy(*key, "at").agg(F.max("action").alias("action"))  # remove > add
+    by = Window.partitionBy(*key).orderBy("at")
     turns = last.withColumn("was", F.lag("action", 1, "remove").over(by)).where("action <> was")
     spans = turns.withColumn("valid_to", F.lead("at").over(by)).where("action = 'add'")
-    return spans.select("list_name", "domain", F.col("at").alias("valid_from"), "valid_to")
+    return spans.select(*key, F.col("at").alias("valid_from"), "valid_to")
 
 
 def host_intervals(hosts: DataFrame, spans: DataFrame) -> DataFrame:
@@ -44,14 +75,16 @@ def host_intervals(hosts: DataFrame, spans: DataFrame) -> DataFrame:
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     keyed = hosts.select("host", F.explode(parents).alias("domain"))
     found = keyed.join(spans, "domain")
-    return found.groupBy("host").agg(F.collect_list(F.struct("list_name", "domain", "valid_from", "valid_to")).alias("spans"))
+    return found.groupBy("host").agg(F.collect_list(F.struct("list_name", "domain", "prefix", "valid_from", "valid_to")).alias("spans"))
 
 
 def as_of(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """Captures with host, n_active, active_lists and blocked, from the entries active at their fetch time.
 
-    active_lists: names in order, comma-joined, empty if none; n_active: intervals that hold.  A URL without
-    a host, a null URL and a null fetch time match nothing and are not blocked.  Repeated captures stay.
+    active_lists: names in order, comma-joined, empty if none; n_active: intervals that hold.  An entry with a
+    path holds for that path and what lies below it.  A URL without a host, a null URL and a null fetch time
+    match nothing and are not blocked.  Repeated captures stay, no captures give none, and columns of captures
+    named like these are an error.
     """
     taken = {"host", "spans", "n_active", "active_lists", "blocked"}
     if clash := taken & {c.lower() for c in captures.columns}:
@@ -60,8 +93,9 @@ def as_of(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: st
     hosts = hosted.select("host").where("host is not null").distinct()
     table = stage(host_intervals(hosts, intervals(entries)), "url-hosts")
     joined = hosted.join(table, "host", "left")
-    at = F.col(fetched)
-    holds = lambda s: (s["valid_from"] <= at) & (s["valid_to"].isNull() | (at < s["valid_to"]))
+    at, path = F.col(fetched), path_of(F.col(url))
+    below = lambda s: (s["prefix"] == "") | (path == s["prefix"]) | F.startswith(path, F.concat(s["prefix"], F.lit("/")))
+    holds = lambda s: (s["valid_from"] <= at) & (s["valid_to"].isNull() | (at < s["valid_to"])) & below(s)
     active = F.coalesce(F.filter("spans", lambda s: F.coalesce(holds(s), F.lit(False))), F.array().cast(table.schema["spans"].dataType))
     out = joined.withColumn("spans", active).withColumns({
         "n_active": F.size("spans").cast("long"),
