@@ -9,6 +9,8 @@ import zlib
 import numpy as np
 import xxhash
 
+from tokenloom.llm import quality
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -56,16 +58,21 @@ def figures(text):
 def cleaned(text):
     """The text without failed lines, or None if the document goes."""
     t = text or ""
-    ends = re.compile(r"[.!?…:;,][\"'”’»)\]]*(?:\s|$)|[。！？]")
-    furniture = re.compile(r"(?i)\b(?:cookies? (?:policy|settings)|accept (?:all )?cookies|privacy policy|terms of (?:use|service)|all rights reserved|copyright ©|enable javascript|lorem ipsum|click here|read more|sign (?:in|up)|log in|subscribe to our|share on)\b")
+    mark = r"[.!?…:;,][\"'”’»)\]]*"
+    ends, last = re.compile(rf"{mark}(?:\s|$)|[。！？]"), re.compile(rf"(?:{mark}|[。！？])\s*\Z")
+    furniture = re.compile(quality.BOILERPLATE)
+    lines = t.split("\n")
+    entries = [0 < len(WORDS.findall(x)) <= 3 and len(x) <= 120 and not last.search(x) for x in lines]
 
-    def fails(line):
+    def fails(i, line):
         n = len(WORDS.findall(line))
         many = lambda chars: sum(line.count(c) for c in chars)
-        bars, symbols, shouts = many("|»›•·"), many("#*$%&|<>"), many("!")
-        return n > 0 and bool(not ends.search(line) and n >= 3 or bars >= 3 and n <= 5 * (bars + 1) or symbols * 3 >= n and symbols >= 3 or shouts * 3 >= n and shouts >= 4 or furniture.search(line))
+        bars, symbols, shouts, commas = many("|»›•·"), many("#*$%&|<>"), many("!"), many(",")
+        brief = len(line) <= 480 and (not last.search(line) and commas >= 2 and n <= 2 * (commas + 1) or n <= 12 and furniture.search(line))
+        menu = any(a >= 0 and entries[a : a + 3] == [True] * 3 for a in (i - 2, i - 1, i))
+        return n > 0 and bool(not ends.search(line) and n >= 3 or bars >= 3 and n <= 5 * (bars + 1) or symbols * 3 >= n and symbols >= 3 or shouts * 3 >= n and shouts >= 4 or brief or menu)
 
-    out = "\n".join(x for x in t.split("\n") if not fails(x))
+    out = "\n".join(x for i, x in enumerate(lines) if not fails(i, x))
     total, left = (sum(map(len, WORDS.findall(x))) for x in (t, out))
     return None if figures(t)["base_failed"] or total - left > 0.5 * total else out
 

@@ -68,6 +68,29 @@ def test_url_filters_as_of(spark):
     assert url_filters.as_of(captures, log.where("1 = 0")).where("blocked").count() == 0
     with pytest.raises(ValueError):
         url_filters.as_of(captures.withColumn("Host", F.lit(1)), log)
+    with pytest.raises(ValueError, match="block"):
+        url_filters.as_of(captures, log.unionByName(spark.createDataFrame([("a", "x.org", "block", "2024-01-01")], log.schema)))
+
+
+def test_url_entries_are_normalised(spark):
+    entries = [("a", " Evil.COM. ", " ADD", "2024-01-10"), ("b", "site.org/private/", "add", "2024-01-01"), ("b", "http://other.org/x", "Add", "2024-01-01 00:00:00+02:00"), ("c", "[2001:DB8::1]", "add", "2024-01-01"), ("c", "user.net", "add", "2024-01-01T12:00:00Z"), ("d", "", "add", "2024-01-01")]
+    urls = ["http://evil.com/", "https://a.evil.com.:443/x", "http://site.org/private", "http://www.site.org/private/a?b", "http://site.org/privateer", "http://site.org/", "http://other.org/xy", "http://other.org/x#y", "http://[2001:db8::1]:8080/p", "ftp://me:[x]@user.net/", "http://[broken/"]
+    want = ["a", "a", "b", "b", "", "", "", "b", "c", "c", ""]
+    captures = spark.createDataFrame([(i, u, 1705320000) for i, u in enumerate(urls)], "page_id long, url string, at long").select("page_id", "url", F.timestamp_seconds("at").alias("fetched"))
+    log = spark.createDataFrame(entries, "list_name string, domain string, action string, at string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York", "Asia/Tokyo"):  # entries without a zone are UTC whatever the session's
+            spark.conf.set("spark.sql.session.timeZone", name)
+            got = {r.page_id: r.active_lists for r in url_filters.as_of(captures, log).collect()}
+            assert [got[i] for i in range(len(urls))] == want
+            near = url_filters.as_of(captures.withColumn("fetched", F.timestamp_seconds(F.lit(1704844800 - 1))), log)  # a second before 2024-01-10 UTC
+            assert [r.active_lists for r in near.where("page_id = 0").collect()] == [""]
+            hashed = sorted(map(tuple, queries.op1_url_filters(spark, "/root/testdata/sf0.001").collect()), key=str)
+            first = hashed if name == "UTC" else first
+            assert hashed == first
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 # archive
@@ -178,19 +201,41 @@ def test_one_of_each_group_stays(spark):
 # quality
 
 
+SENTENCE = "Children who read more do better, as we log in to learn and sign up for nothing. "
+PAGES = [
+    "Home | About | News | Contact us\nThis is a sentence of prose, and it goes on.\nAnother line of it says something else entirely.",
+    "buy### now$$$ this%%% is*** all&&& noise### here$$$ and%%% there*** too&&& yes### no$$$",
+    "We value your privacy policy.\nClean text follows here. It has many good words in it, all different.",
+    SENTENCE + " ".join(f"word{i}" for i in range(300)) + ".",  # a phrase in a long line fails nothing
+    "Home\nAbout us\nContact\nOur products\nNews\nTerms\nHelp\nSite map\nLog out",
+    "A heading\n" + "It stands above one paragraph of prose that has words enough to be kept, one heading alone being no menu.\nNote\n\nThe end",
+    "Home, About, Contact, Login\nThe text itself is long enough, has ten words or more, and stays where it is.",
+    "Copyright © 2024 Acme Inc.\nAlle Rechte vorbehalten.\nTous droits réservés.\nLeer más.\nWhat remains is a sentence with more than ten different words in it, and it is longer than all of the furniture above, which goes.",
+    "a\nb\nc\n\nd\ne\n",
+    "Wait! What! No! Yes!\n" + "x" * 500 + " , , ",
+]
+
+
 def test_quality_figures_and_cleaning(spark, docs, texts, nothing):
-    more = ["Home | About | News | Contact us\n" + "This is a sentence of prose, and it goes on.\n" * 1 + "Another line of it says something else entirely.", "buy### now$$$ this%%% is*** all&&& noise### here$$$ and%%% there*** too&&& yes### no$$$", "We value your privacy policy and so on for ten words or more.\nClean text follows here. It has many good words in it, all different."]
-    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
-    all_texts = dict(enumerate(texts)) | {1000 + i: t for i, t in enumerate(more)}
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(PAGES)], "doc_id long, text string"))
+    all_texts = dict(enumerate(texts)) | {1000 + i: t for i, t in enumerate(PAGES)}
+    duck = duckdb.connect()
+    documents = pa.table({"doc_id": list(all_texts), "text": list(all_texts.values())})  # noqa: F841
+    sql = {r[0]: r for r in duck.execute(f"select doc_id, lost_chars, kept from ({queries.oracle_sql()['op4_quality_rules']})").fetchall()}
     for r in quality.figures(df).collect():
         want = brute.figures(all_texts[r.doc_id]) | {"kept": brute.cleaned(all_texts[r.doc_id]) is not None}
         assert {k: r[k] for k in want} == want, all_texts[r.doc_id]
+        if not any(c in (all_texts[r.doc_id] or "") for c in "\x1c\x85\r"):
+            assert (r.doc_id, r.lost_chars, r.kept) == sql[r.doc_id], all_texts[r.doc_id]
     got = {r.doc_id: r.text for r in quality.cleaned_documents(df).collect()}
     want = {i: c for i, t in all_texts.items() if (c := brute.cleaned(t)) is not None}
     assert sorted(got) == sorted(want) and [i for i in want if got[i] != want[i]] == []
+    assert got[1003] == PAGES[3] and 1004 not in got and got[1005] == PAGES[5] and got[1006] == PAGES[6].split("\n")[1] and got[1007] == PAGES[7].split("\n")[-1]
     assert quality.cleaned_documents(docs).columns == docs.columns and quality.figures(nothing).count() == 0
-    plan = quality.figures(docs)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan.split("InMemory")[0].replace("REPARTITION", "") or "Python" not in plan
+    plan = quality.figures(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "Aggregate" not in plan and "Join" not in plan and "Window" not in plan
+    with pytest.raises(ValueError):
+        quality.assessed(docs)
 
 
 # token ids

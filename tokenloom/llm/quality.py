@@ -10,15 +10,26 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.common import WORD, in_place, whole_text
 
-BLANKS = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
-#: Marks that end a sentence or a clause, fixed values; closing quotes and brackets may follow.  A line of
-#: prose has one somewhere, be it cut off in the middle of its last sentence.
+SYMBOLS = r"[#*$%&|<>]"
+#: Marks that end a sentence or a clause; closing quotes and brackets may follow.  A line of prose has one
+#: somewhere, be it cut off in the middle of its last sentence.
 ENDS = r"[.!?…:;,][\"'”’»)\]]*(?:\s|$)|[。！？]"
-#: Marks between the entries of a navigation bar, fixed values.
-BARS = "|»›•·"
-#: Phrases of page furniture, fixed values.
-BOILERPLATE = r"(?i)\b(?:cookies? (?:policy|settings)|accept (?:all )?cookies|privacy policy|terms of (?:use|service)|all rights reserved|copyright ©|enable javascript|lorem ipsum|click here|read more|sign (?:in|up)|log in|subscribe to our|share on)\b"
+#: The same at a line's end.
+LAST = r"(?:[.!?…:;,][\"'”’»)\]]*|[。！？])\s*$"
+#: Marks between the entries of a navigation bar.
+BARS = r"[|»›•·]"
+#: Phrases of page furniture in English, German, French and Spanish; a short line that holds one is furniture.
+BOILERPLATE = (
+    r"(?i)\b(?:cookies? (?:policy|settings)|accept (?:all )?cookies|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|lorem ipsum|click here|read more|sign (?:in|up)|log in|subscribe to our|share on"
+    r"|alle rechte vorbehalten|datenschutzerkl[äÄ]rung|cookies akzeptieren|allgemeine gesch[äÄ]ftsbedingungen|hier klicken|weiterlesen|jetzt anmelden|newsletter abonnieren|teilen auf"
+    r"|tous droits r[éÉ]serv[éÉ]s|politique de confidentialit|accepter (?:tous )?les cookies|mentions l[éÉ]gales|conditions d.utilisation|cliquez ici|lire la suite|se connecter|partager sur"
+    r"|todos los derechos reservados|pol[íÍ]tica de (?:privacidad|cookies)|aceptar (?:todas )?las cookies|aviso legal|t[éÉ]rminos de uso|haga clic|leer m[áÁ]s|iniciar sesi[óÓ]n|compartir en)"
+    r"|copyright (?:©|\(c\))|© ?[12][0-9]{3}"
+)
+#: Words of the longest line that a phrase fails.
+SHORT = 12
+#: Words of the longest line of a menu, and how many such lines in a row are one.
+ENTRY, MENU = 3, 3
 WINDOW = 5
 MAX_LOST = 0.5
 
@@ -27,10 +38,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(0))
 
 
-def _chars_of(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
 def repeated_words(df: DataFrame, words_column: str, out: str, window: int = WINDOW) -> DataFrame:
     """Adds how many words lie in a window of words found twice or more in the row.
 
@@ -58,15 +65,37 @@ def repeated_words(df: DataFrame, words_column: str, out: str, window: int = WIN
     return df.withColumn(out, F.coalesce(covered, F.lit(0).cast("long"))).drop("_hashes", "_ordered", "_twice")
 
 
+def _count(line: Column, pattern: str) -> Column:
+    return F.size(F.regexp_extract_all(line, F.lit(f"({pattern})"), F.lit(0)))
+
+
 def line_fails(line: Column) -> Column:
-    """True for a line of three words or more in which no sentence or clause ends, that is a navigation bar, that shouts symbols, or is boilerplate."""
-    n_words = F.size(F.split(F.trim(F.translate(line, BLANKS, " " * len(BLANKS))), " +"))
-    bars = _chars_of(line, BARS)
-    symbols = _chars_of(line, SYMBOLS)
-    shouts = _chars_of(line, "!")
-    navigation = (bars >= 3) & (n_words <= 5 * (bars + 1))
-    noisy = (symbols * 3 >= n_words) & (symbols >= 3) | (shouts * 3 >= n_words) & (shouts >= 4)
-    return ~line.rlike(ENDS) & (n_words >= 3) | navigation | noisy | line.rlike(BOILERPLATE)
+    """True for a line of three words or more in which no sentence or clause ends, that is a navigation bar (of marks, or of
+    entries between commas without an end), that shouts symbols, or, being short, holds a phrase of page furniture.
+
+    Conditions that most lines fail come first, so that the rest is seldom looked at.
+    """
+    n_words = _count(line, WORD)
+    bars, symbols, shouts, commas = (_count(line, x) for x in (BARS, SYMBOLS, "!", ","))
+    marked = (bars >= 3) & (n_words <= 5 * (bars + 1)) | (symbols >= 3) & (symbols * 3 >= n_words) | (shouts >= 4) & (shouts * 3 >= n_words)
+    brief = F.length(line) <= 40 * SHORT
+    listed = ~line.rlike(LAST) & (commas >= 2) & (n_words <= 2 * (commas + 1))
+    furniture = (n_words <= SHORT) & line.rlike(BOILERPLATE)
+    return ~line.rlike(ENDS) & (n_words >= 3) | line.rlike(r"[|»›•·#*$%&<>!]") & marked | brief & (listed | furniture)
+
+
+def menu_entry(line: Column) -> Column:
+    """A line of one to three words without an end mark."""
+    return (F.length(line) <= 40 * ENTRY) & line.rlike(WORD) & ~line.rlike(LAST) & (_count(line, WORD) <= ENTRY)
+
+
+def _in_menu(entries: str, i: Column) -> Column:
+    """Whether line i is one of MENU entries in a row; entries: a flag a line."""
+    at = lambda k: F.coalesce(F.get(F.col(entries), i + k), F.lit(False))  # noqa: E731  null outside, below 0 too
+    return at(0) & (at(1) & at(2) | at(-1) & at(1) | at(-1) & at(-2))
+
+
+_ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "cleaned", "n_repeat_words", "base_failed", "lost_chars", "kept")
 
 
 def assessed(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
@@ -76,27 +105,30 @@ def assessed(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     earlier one), n_repeat_words (words in 5-word windows found twice or more), base_failed (under 10 words,
     or over a fifth of them repeated), lost_chars (code points other than blanks in failed lines),
     cleaned (the text without failed lines) and kept (false if base_failed or if failed lines hold over
-    max_lost of what isn't blank).  Null text counts as empty: no words, base_failed.
+    max_lost of what isn't blank).  A line fails by `line_fails`, or as one of three menu entries in a row.
+    Null text counts as empty: no words, base_failed.  Repeated rows and null ids stay as they are, no rows
+    give none, and columns of docs named like these are an error.
     """
-    text = whole_text()
-    df = docs.withColumn("_text", text).withColumn("_words", words(F.col("_text")))
+    if clash := {*_ADDED, "_text", "_words", "_lines", "_good", "_worded", "_entries"} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns named {sorted(clash)}: rename them first")
+    df = docs.withColumn("_text", whole_text()).withColumn("_words", words(F.col("_text")))
     df = df.withColumn("_lines", F.split("_text", "\n"))
-    df = df.withColumn("_good", F.filter("_lines", lambda x: ~(x.rlike(WORD) & line_fails(x))))
-    with_word = F.filter("_lines", lambda x: x.rlike(WORD))
-    df = df.withColumn("_worded", with_word)
-    t = F.col("_text")
+    df = df.withColumn("_entries", F.transform("_lines", menu_entry))
+    df = df.withColumn("_good", F.filter("_lines", lambda x, i: ~(x.rlike(WORD) & (_in_menu("_entries", i) | line_fails(x)))))
+    df = df.withColumn("_worded", F.filter("_lines", lambda x: x.rlike(WORD)))
+    chars = lambda w: F.length(F.array_join(w, "")).cast("long")
     df = df.withColumns({
         "n_words": F.size("_words").cast("long"),
-        "word_chars": (F.length(t) - _chars_of(t, BLANKS)).cast("long"),
-        "n_symbols": _chars_of(t, SYMBOLS).cast("long"),
+        "word_chars": chars("_words"),
+        "n_symbols": _count(F.col("_text"), SYMBOLS).cast("long"),
         "n_dup_lines": (F.size("_worded") - F.size(F.array_distinct("_worded"))).cast("long"),
         "cleaned": F.array_join("_good", "\n"),
     })
     df = repeated_words(df, "_words", "n_repeat_words")
-    lost = F.col("word_chars") - (F.length("cleaned") - _chars_of(F.col("cleaned"), BLANKS))
-    df = df.withColumns({"base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")), "lost_chars": lost.cast("long")})
+    lost = F.when(F.size("_good") < F.size("_lines"), F.col("word_chars") - chars(words(F.col("cleaned")))).otherwise(F.lit(0).cast("long"))
+    df = df.withColumns({"base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")), "lost_chars": lost})
     kept = ~F.col("base_failed") & (F.col("lost_chars") <= max_lost * F.col("word_chars"))
-    return df.withColumn("kept", kept).drop("_text", "_words", "_lines", "_good", "_worded")
+    return df.withColumn("kept", kept).drop("_text", "_words", "_lines", "_good", "_worded", "_entries")
 
 
 def figures(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:

@@ -6,7 +6,7 @@ its context scores; tests/llm holds those against brute-force versions.
 
 from __future__ import annotations
 
-from tokenloom.llm.quality import BARS, BOILERPLATE, ENDS, MAX_LOST, SYMBOLS
+from tokenloom.llm.quality import BARS, BOILERPLATE, ENDS, ENTRY, LAST, MAX_LOST, SHORT, SYMBOLS
 from tokenloom.llm.secret_scan import BASE, RULES
 
 
@@ -15,16 +15,18 @@ def _quoted(text: str) -> str:
 
 
 def url_filters(entries: list[tuple[str, str, str, str]]) -> str:
-    rows = ", ".join(f"({_quoted(a)}, {_quoted(b.lower())}, {_quoted(c)}, TIMESTAMP {_quoted(d)})" for a, b, c, d in entries)
+    cut = [(a, *b.lower().partition("/")[::2], c.lower(), d) for a, b, c, d in entries]  # the entries' paths are in lower case
+    rows = ", ".join(f"({_quoted(a)}, {_quoted(host.rstrip('.'))}, {_quoted(('/' + path).rstrip('/'))}, {_quoted(c)}, TIMESTAMP {_quoted(d)})" for a, host, path, c, d in cut)
     return f"""
-WITH last AS (SELECT list_name, domain, ts, max(action) AS action FROM (VALUES {rows}) e(list_name, domain, action, ts) GROUP BY ALL),
-turns AS (SELECT * FROM (SELECT *, lag(action, 1, 'remove') OVER w AS was FROM last WINDOW w AS (PARTITION BY list_name, domain ORDER BY ts)) WHERE action <> was),
-spans AS (SELECT * FROM (SELECT list_name, domain, action, ts AS valid_from, lead(ts) OVER (PARTITION BY list_name, domain ORDER BY ts) AS valid_to FROM turns) WHERE action = 'add'),
-p AS (SELECT page_id, nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '.'), '') AS host,
+WITH last AS (SELECT list_name, domain, prefix, ts, max(action) AS action FROM (VALUES {rows}) e(list_name, domain, prefix, action, ts) GROUP BY ALL),
+turns AS (SELECT * FROM (SELECT *, lag(action, 1, 'remove') OVER w AS was FROM last WINDOW w AS (PARTITION BY list_name, domain, prefix ORDER BY ts)) WHERE action <> was),
+spans AS (SELECT * FROM (SELECT list_name, domain, prefix, action, ts AS valid_from, lead(ts) OVER (PARTITION BY list_name, domain, prefix ORDER BY ts) AS valid_to FROM turns) WHERE action = 'add'),
+p AS (SELECT page_id, nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[0-9A-Fa-f:.]+\\]|[^\\[\\]/:?#]+)(?::[0-9]*)?(?:[/?#]|$)', 1)), '.'), '') AS host,
+  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path,
   TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST((page_id * 7919) % 8784 AS BIGINT)) AS fetched FROM pages)
 SELECT page_id, host, strftime(fetched, '%Y-%m-%d %H:%M:%S') AS fetched, count(domain) AS n_active,
   coalesce(string_agg(DISTINCT list_name, ',' ORDER BY list_name), '') AS active_lists, count(domain) > 0 AS blocked
-FROM p LEFT JOIN spans ON (host = domain OR ends_with(host, '.' || domain)) AND valid_from <= fetched AND (valid_to IS NULL OR fetched < valid_to)
+FROM p LEFT JOIN spans ON (host = domain OR ends_with(host, '.' || domain)) AND valid_from <= fetched AND (valid_to IS NULL OR fetched < valid_to) AND (prefix = '' OR path = prefix OR starts_with(path, prefix || '/'))
 GROUP BY page_id, host, fetched"""
 
 
@@ -40,18 +42,23 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 
 def quality() -> str:
-    count = lambda x, chars: f"(length({x}) - length(translate({x}, '{chars}', '')))"
+    count = lambda x, pattern: f"len(regexp_extract_all({x}, {_quoted(pattern)}))"
     blanks = lambda x: f"length(regexp_replace({x}, '[\\x20\\x09-\\x0D]', '', 'g'))"
-    n = f"len(regexp_extract_all(l, '{_WORD}'))"
-    fails = f"""(NOT regexp_matches(l, {_quoted(ENDS)}) AND {n} >= 3 OR {count("l", BARS)} >= 3 AND {n} <= 5 * ({count("l", BARS)} + 1)
-      OR {count("l", SYMBOLS)} * 3 >= {n} AND {count("l", SYMBOLS)} >= 3 OR {count("l", "!")} * 3 >= {n} AND {count("l", "!")} >= 4 OR regexp_matches(l, {_quoted(BOILERPLATE)}))"""
+    n, has = count("l", _WORD), lambda pattern: f"regexp_matches(l, {_quoted(pattern)})"
+    bars, symbols, shouts, commas = (count("l", x) for x in (BARS, SYMBOLS, "!", ","))
+    entry = f"(length(l) <= {40 * ENTRY} AND {has(_WORD)} AND NOT {has(LAST)} AND {n} <= {ENTRY})"
+    fails = f"""(NOT {has(ENDS)} AND {n} >= 3 OR {bars} >= 3 AND {n} <= 5 * ({bars} + 1) OR {symbols} * 3 >= {n} AND {symbols} >= 3 OR {shouts} * 3 >= {n} AND {shouts} >= 4
+      OR length(l) <= {40 * SHORT} AND (NOT {has(LAST)} AND {commas} >= 2 AND {n} <= 2 * ({commas} + 1) OR {n} <= {SHORT} AND {has(BOILERPLATE)})
+      OR entry AND (coalesce(e1 AND e2, false) OR coalesce(b1 AND e1, false) OR coalesce(b1 AND b2, false)))"""
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
 wins AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM d),
 keys AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS k FROM wins),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM keys) WHERE n > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY 1),
-lines AS (SELECT doc_id, l, regexp_matches(l, '{_WORD}') AS worded FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
+cut AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+marked AS (SELECT doc_id, l, i, {entry} AS entry, {has(_WORD)} AS worded FROM cut),
+lines AS (SELECT *, lag(entry, 1) OVER o AS b1, lag(entry, 2) OVER o AS b2, lead(entry, 1) OVER o AS e1, lead(entry, 2) OVER o AS e2 FROM marked WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 byline AS (SELECT doc_id, count(*) FILTER (worded) - count(DISTINCT l) FILTER (worded) AS dups, coalesce(sum({blanks("l")}) FILTER (worded AND {fails}), 0) AS lost FROM lines GROUP BY 1),
 f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST({blanks("t")} AS BIGINT) AS word_chars, CAST({count("t", SYMBOLS)} AS BIGINT) AS n_symbols, CAST(dups AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(lost AS BIGINT) AS lost_chars
   FROM d JOIN byline USING (doc_id) LEFT JOIN rep USING (doc_id))
