@@ -15,7 +15,7 @@ from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from tests.llm import brute
-from tokenloom.llm import components, decontaminate, packing, pii, quality, queries, secret_scan, simhash, token_counts, token_ids, tokenizing, url_filters, warc
+from tokenloom.llm import common, components, decontaminate, packing, pii, quality, queries, secret_scan, simhash, token_counts, token_ids, tokenizing, url_filters, warc
 from tokenloom.llm.common import fresh_path
 
 BYTE_BPE, WORD_BPE, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -54,6 +54,17 @@ def nothing(docs):
     return docs.where("doc_id < 0")
 
 
+def test_staged_tables_go_when_they_are_taken_in(spark):
+    since = len(common.staged_paths())
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    found = components.components(edges)
+    assert len(common.staged_paths()) == since + 1 and {r.root for r in found.collect()} == {0}
+    common.release(spark)
+    assert common.staged_paths() == []
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FAILED_READ"):
+        spark.read.parquet(found.inputFiles()[0]).count()
+
+
 # url filters
 
 

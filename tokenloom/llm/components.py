@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import stage
+from tokenloom.llm.common import keep_last, stage, staged_paths
 
 
 def _fewest(edges: DataFrame) -> DataFrame:
@@ -40,11 +40,13 @@ def components(edges: DataFrame) -> DataFrame:
     Self loops and repeated edges are ignored, rows with a null end are dropped, and no edges give no rows.
     Roots have a row of their own.
     """
+    spark, since = edges.sparkSession, len(staged_paths())
     edges = edges.select("u", "v").where("u <> v")
     edges = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     before = _state(edges)
     while before[0]:
         edges = stage(_small_star(stage(_large_star(edges), "cc-large")), "cc")
+        keep_last(spark, since)
         after = _state(edges)
         if after == before:
             break

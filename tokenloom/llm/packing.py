@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import stage, whole_text
+from tokenloom.llm.common import keep_last, stage, staged_paths, whole_text
 from tokenloom.llm.tokenizing import encoder
 
 LENGTH = 4096
@@ -188,6 +188,8 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int, length: int = LENGTH,
     """
     n = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = tokens(docs, vocabulary, end_id)
+    since = len(staged_paths())
     where = stage(plan(held, length, grain, n), "packing-plan")
+    keep_last(docs.sparkSession, since)
     joined = held.join(where.hint("shuffle_hash"), "uid")
     return joined.select("doc_id", "n", "whole_seq", "seq", "offset", "taken", "rest_at", "ids").mapInArrow(partial(_pieces, length=length), _PIECES)

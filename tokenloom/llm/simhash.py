@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import stage, whole_text
+from tokenloom.llm.common import keep_last, stage, staged_paths, whole_text
 from tokenloom.llm.components import components
 
 SEED = 42
@@ -210,13 +210,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, c
     null doc_id keeps its row and never names a component (null where its whole component has none).
     """
     fps = stage(fingerprints(docs, shingle, seed), "simhash-fp")
+    since = len(staged_paths())
     own = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = stage(components(links(own.select("fp"), cap)), "simhash-roots")
     linked = own.join(roots, own.fp == roots.node)
     named = stage(linked.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-names")
     moved = roots.join(named, "root").select(F.col("node").alias("fp"), "component_id")
     names = own.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(stage(names, "simhash-ids"), "fp").select("doc_id", "fp", "component_id")
+    names = stage(names, "simhash-ids")
+    keep_last(docs.sparkSession, since)
+    return fps.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
