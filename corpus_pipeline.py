@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tokenloom.llm import decontaminate, packing, quality, secret_scan, simhash
-from tokenloom.llm.common import read_table, stage
+from tokenloom.llm.common import keep_last, read_table, stage, staged_paths
 
 END_ID = 2
 
@@ -54,7 +54,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, since = read_table(spark, sf_dir, "documents"), len(staged_paths())
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        keep_last(spark, since)
     return STAGES[-1][1](spark, docs, sf_dir)
