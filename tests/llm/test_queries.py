@@ -1,9 +1,14 @@
-"""The registered queries with SQL give DuckDB's rows, and every other one a row for each of its table's."""
+"""The registered queries with SQL give DuckDB's rows, the others those of plain versions (op6: in test_operators)."""
+
+import hashlib
 
 import duckdb
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from tokenloom.llm import queries
+from tests.llm import brute
+from tokenloom.llm import pii, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,7 +27,42 @@ def test_against_sql(spark, name):
     assert len(got) == len(want) and [x for x in zip(got, want, strict=True) if x[0] != x[1]][:2] == []
 
 
-@pytest.mark.parametrize("name", ["op3_simhash", "op5_token_ids", "op6_token_counts", "op10_pii"])
-def test_whole_tables(spark, name):
-    ids = [r.doc_id for r in queries.queries()[name](spark, SF).select("doc_id").collect()]
-    assert sorted(ids) == sorted(r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
+@pytest.fixture(scope="module")
+def documents(spark):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def test_simhash(spark, documents):
+    ids = list(documents)
+    prints = [brute.simhash(documents[i]) for i in ids]
+    want = {i: (f"{p:016x}", c) for i, p, c in zip(ids, prints, brute.linked(ids, prints), strict=True)}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op3_simhash(spark, SF).collect()} == want
+
+
+def test_token_ids(spark, documents):
+    tokenizer, at, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, {}
+    for i in sorted(documents):
+        ids = brute.ids_of(tokenizer, documents[i])
+        want[i] = (at, len(ids), brute.crc(ids))
+        at += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op5_token_ids(spark, SF).collect()} == want
+
+
+def test_packing(spark, documents):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    brute.check_packing([r.asDict() for r in queries.op9_packing(spark, SF).collect()], {i: brute.ids_of(tokenizer, t) for i, t in documents.items()})
+
+
+def test_pii(spark, documents):
+    rows = {r.doc_id: r for r in queries.op10_pii(spark, SF).collect()}
+    assert rows.keys() == documents.keys()
+    for i, text in documents.items():
+        base = brute.private(text)
+        told = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        r = rows[i]
+        assert tuple(r[f"n_{k}"] for k in pii.KINDS[:4]) == tuple(sum(k == x for x, _, _ in base) for k in pii.KINDS[:4])
+        assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        spans = [x.rsplit(":", 2) for x in r.spans.split(",") if x]
+        assert [x for x in spans if x[0] != "iban"] == [[k, str(a), str(b)] for k, a, b in base]
+        assert {(int(a), int(b)) for k, a, b in spans if k == "iban"} == set(pii.ibans(text or ""))
+        assert r.scores == ",".join(f"{pii.score(text, int(a), int(b), k):.2f}" for k, a, b in spans)
