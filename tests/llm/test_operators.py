@@ -129,6 +129,17 @@ def test_archive_ties_and_short_payloads(spark):
     assert [(r.page_id, r.payload_bytes) for r in least] == [(4, 6)]
 
 
+def test_a_revisit_of_another_payload_is_found(spark):
+    pages = spark.createDataFrame([(1, "u", "ab"), (2, "v", "ab"), (3, "w", "c")], "page_id long, url string, html string")
+    path = fresh_path(spark, "t-warc")
+    warc.write(pages, path)
+    records = warc.read(spark, path, payloads=False)
+    assert sorted((r.page_id, r.payload_bytes, r.held_by) for r in warc.restored(records).collect()) == [(1, 2, None), (2, 2, 1), (3, 1, None)]
+    for wrong in (records.withColumn("sha256", F.when(F.col("page_id") == 2, "0").otherwise(F.col("sha256"))), records.where("page_id <> 1")):
+        with pytest.raises(Exception, match="refers to no response"):
+            warc.restored(wrong).collect()
+
+
 def test_a_changed_payload_is_found(spark):
     with pytest.raises(ValueError, match="digest"):
         warc._parsed(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <r>\r\nWARC-Payload-Digest: sha1:A\r\nWARC-Payload-SHA256: 0", b"HTTP/1.1 200 OK\r\n\r\nx")

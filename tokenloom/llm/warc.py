@@ -160,15 +160,18 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 def restored(records: DataFrame) -> DataFrame:
     """Records with payload_bytes (and payload, if read) of revisits filled in from their digest's response.
 
-    One payload joins many headers; the payload side is staged with one row per digest, be its response
+    A revisit's digests are held against those of the response, which were held against its bytes; a revisit
+    whose response is missing or differs is an error.  One payload joins many headers; the payload side is staged with one row per digest, be its response
     repeated.  Both sides are plain tables if the caller staged records, so a digest with many revisits is
     split between tasks.
     """
     more = [c for c in ("payload_bytes", "payload") if c in records.columns]
-    held = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), *(F.col(c).alias(f"full_{c}") for c in more), F.col("page_id").alias("held_by"))
+    held = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), *(F.col(c).alias(f"full_{c}") for c in (*more, "sha1", "sha256")), F.col("page_id").alias("held_by"))
     held = stage(held.dropDuplicates(["refers_to_id"]), "warc-held")
-    revisits = records.where("record_type = 'revisit'").drop(*more)
-    full = revisits.join(held, "refers_to_id").withColumnsRenamed({f"full_{c}": c for c in more})
+    joined = records.where("record_type = 'revisit'").drop(*more).join(held, "refers_to_id", "left")
+    same = (F.col("full_sha256") == F.col("sha256")) & (F.col("full_sha1") == F.col("sha1"))
+    wrong = F.raise_error(F.concat(F.col("record_id"), F.lit(": refers to no response with its digest"))).cast("string")
+    full = joined.withColumn("sha1", F.when(same, F.col("full_sha1")).otherwise(wrong)).drop("full_sha1", "full_sha256").withColumnsRenamed({f"full_{c}": c for c in more})
     rest = records.where("record_type = 'response'").withColumn("held_by", F.lit(None).cast("long"))
     return full.unionByName(rest)
 
