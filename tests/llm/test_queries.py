@@ -18,7 +18,11 @@ def test_against_sql(spark, name):
     duck = duckdb.connect()
     for t in ("documents", "pages", "benchmark"):
         duck.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    df = queries.queries()[name](spark, SF)
+    same_rows(duck, spark, name, SF)
+
+
+def same_rows(duck, spark, name, folder):
+    df = queries.queries()[name](spark, folder)
     result = duck.execute(queries.oracle_sql()[name])
     theirs, names = [d[0] for d in result.description], sorted(df.columns)
     assert sorted(theirs) == names
@@ -27,6 +31,29 @@ def test_against_sql(spark, name):
     assert len(got) == len(want) and [x for x in zip(got, want, strict=True) if x[0] != x[1]][:2] == []
 
 
+#: What sf0.001 has none of: IBANs before and behind other words, context for and against, bounds of every kind.
+PERSONAL = [
+    None,
+    "",
+    "IBAN: BE68 5390 0754 7034 BIC: GEBABEBB, ES91 2100 0418 4502 0005 1332 EUR and DE89370400440532013000.",
+    "AB12 3456 BE68 5390 0754 7034 BE68 5390 0754 7035 GB82 WEST 1234 5698 7654 32",
+    "BE68539007547034 BE68539007547034xBE68539007547034 account",
+    "visa 4111 1111 1111 1111, order 4111111111111112, 4111-1111-1111-1111 example; 12345678901234 00000000000000000000",
+    "Téléphone +33 1 23 45 67 89 ou +1 (555) 010-9999, isbn +978 3 16 148410 0, +123456789",
+    "host 10.0.0.1 version 1.2.3.4.5.6.7.8 256.1.1.1 0001.002.03.4 999999999999999999999.1.1.1",
+    "mail a.b@c.d.e. @x.y a@b c@d.e@f.g ü@ä.de contact: %+-@-.- é𝄞 z@y.x",
+]
+
+
+def test_planted_personal_data(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(PERSONAL)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    same_rows(duck, spark, "op10_pii", str(tmp_path))
+    spans = [x for r in queries.op10_pii(spark, str(tmp_path)).collect() for x in r.spans.split(",")]
+    assert {k: sum(x.startswith(k) for x in spans) for k in pii.KINDS}["iban"] == 6
+
+
 @pytest.fixture(scope="module")
 def documents(spark):
     return {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}

@@ -1,11 +1,12 @@
 """DuckDB SQL for the queries that SQL can express, on the same tables.
 
-Not here: fingerprints need XXH64, token ids, counts and packing the tokenizers' vocabularies, and personal data
-its context scores; tests/llm holds those against brute-force versions.
+Not here: fingerprints need XXH64, and token ids, counts and packing the tokenizers' vocabularies; tests/llm holds
+those against brute-force versions.
 """
 
 from __future__ import annotations
 
+from tokenloom.llm.pii import AGAINST, BASE_SCORES, CONTEXT, DROP, LIFT, REACH
 from tokenloom.llm.quality import BARS, BOILERPLATE, ENDS, ENTRY, LAST, MAX_LOST, SHORT, SYMBOLS
 from tokenloom.llm.secret_scan import BASE, RULES
 
@@ -79,12 +80,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+def _matches(pattern: str, group: int = 0) -> str:
+    """doc_id, a (code points before), m (the match) and g (its group) of every match in d's texts t, leftmost and not overlapping."""
+    found = _quoted(pattern)
+    return f"""SELECT doc_id, unnest(m) AS m, unnest(g) AS g, unnest(list_transform(range(len(m)), lambda i: list_sum(list_transform(s[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0))) AS a
+  FROM (SELECT doc_id, regexp_extract_all(t, {found}, 0) AS m, regexp_extract_all(t, {_quoted(f"({pattern})") if not group else found}, {group}) AS g, string_split_regex(t, {found}) AS s FROM d WHERE regexp_matches(t, {found}))"""
+
+
 def secrets() -> str:
     parts = []
     for order, rule in enumerate(RULES):
-        parts.append(f"""SELECT doc_id, {order} AS o, '{rule.kind}' AS kind, a, a + length(m) AS z FROM (
-  SELECT doc_id, unnest(m) AS m, unnest(g) AS g, unnest(list_transform(range(len(m)), lambda i: list_sum(list_transform(s[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0))) AS a
-  FROM (SELECT doc_id, regexp_extract_all(t, {_quoted(rule.pattern)}, 0) AS m, regexp_extract_all(t, {_quoted(f"({rule.pattern})" if not rule.group else rule.pattern)}, {rule.group}) AS g, string_split_regex(t, {_quoted(rule.pattern)}) AS s FROM d WHERE regexp_matches(t, {_quoted(rule.pattern)})))
+        parts.append(f"""SELECT doc_id, {order} AS o, '{rule.kind}' AS kind, a, a + length(m) AS z FROM ({_matches(rule.pattern, rule.group)})
   WHERE length(g) >= {rule.least}""")
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
     told = "kind || ':' || CAST(a AS BIGINT) || ':' || CAST(z AS BIGINT)"
@@ -95,5 +101,46 @@ g AS (SELECT doc_id, {counts}, string_agg({told}, ',' ORDER BY a, o) FILTER (kin
 SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
 
 
+#: Personal data as the contract words it, with what each match must fulfil.
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(length({_DIGITS})), lambda i: list_sum(list_transform(string_split(CAST(CAST(substr({_DIGITS}, CAST(length({_DIGITS}) - i AS INTEGER), 1) AS INTEGER) * (1 + i % 2) AS VARCHAR), ''), lambda x: CAST(x AS INTEGER))))) % 10 = 0"
+_PERSONAL = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) > 3 THEN true ELSE coalesce(TRY_CAST(ltrim(x, '0') AS INTEGER), 0) > 255 END)) = 0"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", f"CASE WHEN length({_DIGITS}) BETWEEN 14 AND 19 THEN {_LUHN} ELSE false END"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15"),
+}
+_IBAN = "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+
+
+def personal_data() -> str:
+    """IBANs: at each place that may start one, the longest end at a border of groups that mod-97 confirms; of overlapping ones the first."""
+    kinds = list(_PERSONAL)
+    parts = [f"SELECT doc_id, {o} AS o, '{k}' AS kind, a, a + length(m) AS z FROM ({_matches(_PERSONAL[k][0])}) WHERE {_PERSONAL[k][1]}" for o, k in enumerate(kinds)]
+    bare = "replace(m[1:n], ' ', '')"
+    moved = f"({bare}[5:] || {bare}[1:4])"
+    value = lambda x: f"(CASE WHEN {x} <= '9' THEN ord({x}) - 48 ELSE ord({x}) - 55 END)"
+    rest = f"list_reduce(list_prepend(0, list_transform(string_split({moved}, ''), lambda c: {value('c')})), lambda r, v: (r * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97)"
+    listed = lambda words: "[" + ", ".join(_quoted(w) for w in words) + "]"
+    context = " ".join(f"WHEN kind = '{k}' THEN list_has_any(near, {listed(w)})" for k, w in CONTEXT.items())
+    least = " ".join(f"WHEN kind = '{k}' THEN {round(100 * v)}" for k, v in BASE_SCORES.items())
+    told = "kind || ':' || CAST(a AS BIGINT) || ':' || CAST(z AS BIGINT)"
+    base = ", ".join(f"'{k}'" for k in kinds)
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+starts AS (SELECT doc_id, t, unnest(range(length(t))) AS a FROM d WHERE regexp_matches(t, {_quoted(_IBAN)})),
+runs AS (SELECT doc_id, a, regexp_extract(substr(t, a + 1, 80), '^({_IBAN})(?:[^A-Za-z0-9]|$)', 1) AS m FROM starts WHERE regexp_matches(substr(t, a + 1, 4), '^[A-Z]{{2}}[0-9]{{2}}$') AND (a = 0 OR NOT regexp_matches(substr(t, a, 1), '[A-Za-z0-9]'))),
+ends AS (SELECT doc_id, a, m, unnest(list_filter(range(12, length(m) + 1), lambda n: n = length(m) OR m[n + 1] = ' ')) AS n FROM runs WHERE m <> ''),
+good AS (SELECT doc_id, a, max(a + n) AS z FROM ends WHERE {rest} = 1 GROUP BY ALL),
+ibans AS (SELECT doc_id, min_by(z, a) AS z, min(a) AS a FROM good GROUP BY 1 UNION ALL
+  SELECT doc_id, z, a FROM (SELECT g.doc_id, g.z, g.a, row_number() OVER (PARTITION BY g.doc_id ORDER BY g.a) AS place FROM ibans i JOIN good g ON g.doc_id = i.doc_id AND g.a >= i.z) WHERE place = 1),
+f AS ({" UNION ALL ".join(parts)} UNION ALL SELECT doc_id, {len(kinds)}, 'iban', a, z FROM ibans),
+n AS (SELECT f.*, list_transform(regexp_extract_all(substr(t, CAST(greatest(a - {REACH}, 0) + 1 AS BIGINT), CAST(least(a, {REACH}) AS BIGINT)) || ' ' || substr(t, CAST(z + 1 AS BIGINT), {REACH // 2}), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+'), lambda w: lower(w)) AS near FROM f JOIN d USING (doc_id)),
+s AS (SELECT *, least(100, greatest(0, CASE {least} END + CASE WHEN (CASE {context} END) THEN {round(100 * LIFT)} ELSE 0 END - CASE WHEN list_has_any(near, {listed(AGAINST)}) THEN {round(100 * DROP)} ELSE 0 END)) AS points FROM n),
+g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in kinds)}, string_agg({told}, ',' ORDER BY a, o, z) FILTER (kind IN ({base})) AS base,
+  string_agg({told}, ',' ORDER BY a, o, z) AS spans, string_agg(printf('%.2f', points / 100), ',' ORDER BY a, o, z) AS scores FROM s GROUP BY 1)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in kinds)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN g USING (doc_id)"""
+
+
 def oracles(entries: list[tuple[str, str, str, str]]) -> dict[str, str]:
-    return {"op1_url_filters": url_filters(entries), "op2_warc": WARC, "op4_quality_rules": quality(), "op7_decontamination": DECONTAMINATION, "op8_secret_scans": secrets()}
+    return {"op1_url_filters": url_filters(entries), "op2_warc": WARC, "op4_quality_rules": quality(), "op7_decontamination": DECONTAMINATION, "op8_secret_scans": secrets(), "op10_pii": personal_data()}
