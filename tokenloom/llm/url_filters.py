@@ -6,7 +6,8 @@ change of a list doesn't rewrite what was right at the time.  DataFrame function
 
 Captures don't meet the list one by one: distinct hosts do, under each of their parent domains, and a
 capture then joins its host's few intervals.  A host with a third of all captures is one row there; the
-join's large side can be split between tasks.
+join's large side can be split between tasks.  Entries with a path meet distinct pages of their hosts alone, by
+each folder a page lies in, so a host with a million such entries hangs none on captures that lie elsewhere.
 """
 
 from __future__ import annotations
@@ -69,13 +70,34 @@ def intervals(entries: DataFrame) -> DataFrame:
     return spans.select(*key, F.col("at").alias("valid_from"), "valid_to")
 
 
+_SPANS = ("list_name", "domain", "prefix", "valid_from", "valid_to")
+
+
+def _parents(host: str) -> Column:
+    """The host and its parent domains."""
+    labels = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
 def host_intervals(hosts: DataFrame, spans: DataFrame) -> DataFrame:
     """(host) -> (host, spans): the intervals of the host and its parent domains, hosts without any left out."""
-    labels = F.split("host", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keyed = hosts.select("host", F.explode(parents).alias("domain"))
-    found = keyed.join(spans, "domain")
-    return found.groupBy("host").agg(F.collect_list(F.struct("list_name", "domain", "prefix", "valid_from", "valid_to")).alias("spans"))
+    found = hosts.select("host", F.explode(_parents("host")).alias("domain")).join(spans, "domain")
+    return found.groupBy("host").agg(F.collect_list(F.struct(*_SPANS)).alias("spans"))
+
+
+def page_intervals(pages: DataFrame, spans: DataFrame, depth: int) -> DataFrame:
+    """(host, path) -> (host, path, spans): the intervals of entries whose path, of depth parts at most, the page is or lies below.
+
+    pages: any rows; distinct ones of hosts that have such entries are taken.  Pages without any are left out.
+    """
+    domains = spans.select("domain").distinct()
+    hosts = pages.select("host").where("host is not null").distinct()
+    hosts = hosts.select("host", F.explode(_parents("host")).alias("domain")).join(domains, "domain")
+    keyed = pages.select("host", "path").join(hosts.select("host", "domain"), "host").distinct()
+    parts = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(2), F.least(F.size(parts), F.lit(depth + 1))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    found = keyed.select("host", "path", "domain", F.explode(folders).alias("prefix")).join(spans, ["domain", "prefix"])
+    return found.groupBy("host", "path").agg(F.collect_list(F.struct(*_SPANS)).alias("spans"))
 
 
 def as_of(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
@@ -86,17 +108,21 @@ def as_of(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: st
     match nothing and are not blocked.  Repeated captures stay, no captures give none, and columns of captures
     named like these are an error.
     """
-    taken = {"host", "spans", "n_active", "active_lists", "blocked"}
+    taken = {"host", "spans", "n_active", "active_lists", "blocked", "_path", "_below"}
     if clash := taken & {c.lower() for c in captures.columns}:
         raise ValueError(f"columns named {sorted(clash)}: rename them first")
-    hosted = captures.withColumn("host", host_of(F.col(url)))
-    hosts = hosted.select("host").where("host is not null").distinct()
-    table = stage(host_intervals(hosts, intervals(entries)), "url-hosts")
-    joined = hosted.join(table, "host", "left")
-    at, path = F.col(fetched), path_of(F.col(url))
-    below = lambda s: (s["prefix"] == "") | (path == s["prefix"]) | F.startswith(path, F.concat(s["prefix"], F.lit("/")))
-    holds = lambda s: (s["valid_from"] <= at) & (s["valid_to"].isNull() | (at < s["valid_to"])) & below(s)
-    active = F.coalesce(F.filter("spans", lambda s: F.coalesce(holds(s), F.lit(False))), F.array().cast(table.schema["spans"].dataType))
+    hosted = captures.withColumns({"host": host_of(F.col(url)), "_path": path_of(F.col(url))})
+    spans = stage(intervals(entries), "url-intervals")
+    depth = spans.agg(F.max(F.size(F.split("prefix", "/")) - 1)).first()[0]
+    table = stage(host_intervals(hosted.select("host").where("host is not null").distinct(), spans.where("prefix = ''")), "url-hosts")
+    joined, held = hosted.join(table, "host", "left"), ["spans"]
+    if depth:
+        pages = page_intervals(hosted.select("host", F.col("_path").alias("path")), spans.where("prefix <> ''"), depth)
+        pages = stage(pages.withColumnsRenamed({"path": "_path", "spans": "_below"}), "url-pages")
+        joined, held = joined.join(pages, ["host", "_path"], "left"), [*held, "_below"]
+    at, none = F.col(fetched), F.array().cast(table.schema["spans"].dataType)
+    holds = lambda s: (s["valid_from"] <= at) & (s["valid_to"].isNull() | (at < s["valid_to"]))
+    active = F.filter(F.concat(*(F.coalesce(c, none) for c in held)), lambda s: F.coalesce(holds(s), F.lit(False)))
     out = joined.withColumn("spans", active).withColumns({
         "n_active": F.size("spans").cast("long"),
         "active_lists": F.array_join(F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["list_name"]))), ","),
