@@ -104,6 +104,36 @@ def test_url_entries_are_normalised(spark):
         spark.conf.set("spark.sql.session.timeZone", zone)
 
 
+def test_entries_with_paths_against_brute_force(spark):
+    import random
+    from datetime import datetime
+
+    rng = random.Random(3)
+    hosts, parts = ["a.com", "x.a.com", "b.org"], ["", "p", "q", "P", "é", "p%20"]
+    path = lambda most: "".join("/" + rng.choice(parts) for _ in range(rng.randrange(most)))
+    entries = sorted({(rng.choice("lm"), rng.choice(hosts) + path(4), rng.choice(["add", "remove"]), f"2024-01-{rng.randrange(1, 9):02}") for _ in range(150)})
+    captures = [(i, f"https://{rng.choice(hosts)}{path(7)}{rng.choice(['', '?x=/p', '#/q'])}", f"2024-01-{rng.randrange(1, 10):02}") for i in range(400)]
+    captures += [(400, None, "2024-01-05"), (401, "no url", "2024-01-05"), (402, "https://a.com/p", None), (402, "https://a.com/p", None)]
+    log: dict = {}
+    for name, domain, action, at in entries:
+        host, _, rest = domain.partition("/")
+        log.setdefault((name, host, ("/" + rest).rstrip("/")), {}).setdefault(at, set()).add(action)
+    want = []
+    for i, url, at in captures:
+        host, _, rest = (url or "").split("#")[0].split("?")[0].removeprefix("https://").partition("/")
+        lies = "/" + rest
+        active = []
+        for (name, domain, prefix), turns in log.items() if at else ():
+            past = [t for t in turns if t <= at]
+            if past and turns[max(past)] == {"add"} and (host == domain or host.endswith("." + domain)) and (lies == prefix or lies.startswith(prefix + "/") or not prefix):
+                active.append(name)
+        want.append((i, len(active), ",".join(sorted(set(active)))))
+    df = spark.createDataFrame(captures, "page_id long, url string, at string").select("page_id", "url", F.col("at").cast("timestamp").alias("fetched"))
+    listed = spark.createDataFrame([(*e[:3], datetime.fromisoformat(e[3])) for e in entries], "list_name string, domain string, action string, at timestamp")
+    got = [(r.page_id, r.n_active, r.active_lists) for r in url_filters.as_of(df, listed).collect()]
+    assert sorted(got) == sorted(want) and 50 < sum(n > 0 for _, n, _ in got) < 350
+
+
 # archive
 
 
@@ -428,15 +458,30 @@ def test_suffixes_are_sorted_and_neighbours_give_the_longest_match():
             assert got.tolist() == [next((n for n in range(stop) if words[p + n] != test[n]), stop) for p in places.tolist()]
 
 
-def test_blocks_of_the_benchmark_are_held_one_at_a_time(spark):
+def test_blocks_of_the_benchmark_are_held_one_at_a_time(spark, monkeypatch):
     items = [(i, " ".join(f"b{i}x{k}" for k in range(400))) for i in range(60)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     texts = [f"start {items[i][1]} and {items[(i + 7) % 60][1][:2000]}" for i in range(60)] + ["clean text"] * 5
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, note string")
+    alive, most, make = [], [], decontaminate.test_block
+
+    def counted(*args):
+        block = make(*args)
+        alive.append(block)
+        most.append(len(alive))
+        destroy, block.destroy = block.destroy, lambda: (alive.remove(block), destroy())
+        return block
+
+    monkeypatch.setattr(decontaminate, "test_block", counted)
     several = {r.doc_id: r for r in decontaminate.contamination(df, benchmark, block_bytes=20_000).collect()}
+    assert len(most) > 5 and max(most) == 1 and not alive
     one = {r.doc_id: r for r in decontaminate.contamination(df, benchmark).collect()}
     assert several == one and len(one[3].item_ids) == 2 and one[61].n_hit == 0 and one[3].longest == 400
-    sizes = [len(b.value.words) for b in decontaminate.test_blocks(benchmark, block_bytes=20_000)]
+    repeated = benchmark.unionByName(benchmark.where("item_id = 3").crossJoin(spark.range(500)).drop("id"))
+    again = {r.doc_id: r for r in decontaminate.contamination(df, repeated, block_bytes=20_000).collect()}
+    assert again == one
+    blocks, n = decontaminate.dealt(repeated, 20_000)
+    sizes = [len(make(blocks, i).value.words) for i in range(n)]
     assert len(sizes) > 5 and max(sizes) < 0.5 * sum(sizes)
 
 

@@ -8,8 +8,8 @@ all the places its window stands at, and, as the search goes on word by word bet
 place's verbatim match goes.
 
 The test side is read in blocks of bounded size, each broadcast.  One block, the common case, is searched for
-where the documents lie and nothing is shuffled.  More take a pass over the documents each, so that neither the
-driver nor a worker ever holds two; what the passes found is joined by row.
+where the documents lie and nothing is shuffled.  More take a pass over the documents each, and each is made when
+the one before is destroyed, so that neither the driver nor a worker ever holds two; what the passes found is joined by row.
 """
 
 from __future__ import annotations
@@ -211,19 +211,24 @@ def _search(batches: Iterable[pa.RecordBatch], block: Broadcast, shard_words: in
                 docs, begun, n = [], i + 1, 0
 
 
-def test_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[Broadcast]:
-    """The benchmark (item_id, text) as broadcasts of about block_bytes of text each, one behind the other.
+def dealt(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """The benchmark (item_id, text) as distinct items with the block each is in, and how many blocks of about block_bytes of text there are.
 
-    Items are dealt to blocks by their hash, and the driver holds one block at a time.  Items with null or
-    wordless text have no window.  No items give one block without any.
+    Repeated items count once, so that they don't fill a block.  Items with null or wordless text have no
+    window.  No items give one block without any.
     """
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).where("text is not null")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).where("text is not null").distinct()
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // block_bytes))
-    dealt = rows.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    for i in range(n):
-        held = [(r.item_id, bytes(r.text)) for r in dealt.where(F.col("_block") == i).collect()]  # block_bytes or so
-        yield benchmark.sparkSession.sparkContext.broadcast(Block(held, window))
+    items = rows.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    # sorted by block, so that reading one skips the row groups of others
+    return (items if n == 1 else stage(items.repartitionByRange("_block").sortWithinPartitions("_block"), "contamination-items")), n
+
+
+def test_block(items: DataFrame, number: int, window: int = WINDOW) -> Broadcast:
+    """Block `number` of dealt items as a broadcast; the driver holds its items, block_bytes or so, and no other's."""
+    held = [(r.item_id, bytes(r.text)) for r in items.where(F.col("_block") == number).collect()]
+    return items.sparkSession.sparkContext.broadcast(Block(held, window))
 
 
 def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,18 +262,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         raise ValueError(f"columns named {sorted(clash)}: rename them first")
     texts = docs.select(*rest, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     declared = lambda df: [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "_text"]
-    blocks = test_blocks(benchmark, window, block_bytes)
-    block, more = next(blocks), next(blocks, None)
-    if more is None:
+    items, n = dealt(benchmark, block_bytes)
+    if n == 1:
+        block = test_block(items, 0, window)
         return texts.mapInArrow(partial(_search, block=block, shard_words=shard_words), ", ".join([*declared(texts), _OUT]))
     rows = stage(texts.withColumn("_row", F.monotonically_increasing_id()), "contamination-rows")
     names, found = [x.split()[0] for x in _OUT.split(", ")], None
-    while block is not None:
+    for number in range(n):
+        block = test_block(items, number, window)
         part = rows.select("_row", "_text").mapInArrow(partial(_search, block=block, shard_words=shard_words, hits_only=True), f"_row long, {_OUT}")
         part = stage(part, "contamination-hits")
         found = part if found is None else found.unionByName(part)
         block.destroy()
-        block, more = more, next(blocks, None)
     lists = found.groupBy("_row").agg(F.collect_list(F.struct(*names[1:])).alias("found"))  # an entry for each block at most
     merged = stage(lists.mapInArrow(_merged, "_row long, " + _OUT.split(", ", 1)[1]), "contamination-merged")
     counted = rows.select("*", F.size(F.filter(F.split(F.regexp_replace("_text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "), " "), lambda w: w != "")).cast("long").alias("n_words")).drop("_text")
