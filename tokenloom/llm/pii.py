@@ -22,9 +22,9 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9]){13,}")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 KINDS = ("email", "ip", "card", "phone", "iban")
-#: Where a span starts from before its context, fixed values.
+#: Where a span starts from before its context: our own choice.
 BASE_SCORES = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.5, "iban": 0.8}
-#: Words that speak for a kind, and words that speak against any, fixed values.
+#: Words that speak for a kind, and words that speak against any: our own choice.
 CONTEXT = {
     "email": ("mail", "contact", "kontakt", "correo", "courriel"),
     "ip": ("ip", "host", "server", "address", "login"),
@@ -130,7 +130,8 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def personal_data(docs: DataFrame) -> DataFrame:
     """docs with text -> its other columns and pii, an array of (kind, start, end, score, text).
 
-    Offsets are code points, end exclusive.  Null text counts as empty and has no spans.
+    Offsets are code points, end exclusive.  Null text counts as empty and has no spans.  Repeated rows and null
+    ids stay as they are, no rows give none, and another column named pii is an error.
     """
     if "pii" in (c.lower() for c in docs.columns):
         raise ValueError("a column is named pii: rename it first")
