@@ -93,7 +93,8 @@ def page_intervals(pages: DataFrame, spans: DataFrame, depth: int) -> DataFrame:
     domains = spans.select("domain").distinct()
     hosts = pages.select("host").where("host is not null").distinct()
     hosts = hosts.select("host", F.explode(_parents("host")).alias("domain")).join(domains, "domain")
-    keyed = pages.select("host", "path").join(hosts.select("host", "domain"), "host").distinct()
+    hosts = stage(hosts.select("host", "domain"), "url-path-hosts")  # its true size says whether pages are shuffled by host at all
+    keyed = pages.select("host", "path").join(hosts, "host").distinct()
     parts = F.split("path", "/")
     folders = F.transform(F.sequence(F.lit(2), F.least(F.size(parts), F.lit(depth + 1))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     found = keyed.select("host", "path", "domain", F.explode(folders).alias("prefix")).join(spans, ["domain", "prefix"])
