@@ -150,7 +150,7 @@ def pointer_root(spark, sf_dir):
     return js.extract(_props(spark, sf_dir), [""]).select("event_id", "value")
 
 
-@_query("SELECT 0 AS n")
+@_query("SELECT CAST(count(json_extract(props, '/none')) + count(json_extract(props, '/k/0')) + count(json_extract(props, '/K')) AS INTEGER) AS n FROM events")
 def pointer_missing(spark, sf_dir):
     return js.pointer_events(_props(spark, sf_dir), ["/none", "/k/0", "/K"]).agg(F.count(F.lit(1)).cast("int").alias("n"))
 
@@ -178,7 +178,16 @@ def pointer_ignore_case(spark, sf_dir):
     return js.pointer_events(docs, ["/straße", "/STRASSE", "/x"], ignore_case=True).select("id", "pointer")
 
 
-@_query("SELECT event, kind, n * (SELECT count(*) FROM orders) AS n FROM (VALUES ('Enter', 'ObjBegin', 1), ('Enter', 'ArrBegin', 1), ('Match', 'Num', 1), ('Exit', 'ObjEnd', 1), ('Exit', 'ArrEnd', 1), ('Nil', 'ObjBegin', 1), ('Nil', 'ObjEnd', 1), ('Nil', 'Str', 8), ('Nil', 'NameSep', 6), ('Nil', 'ValueSep', 5), ('Nil', 'Num', 3), ('Nil', 'White', 2)) t(event, kind, n)")
+#: Events at a value: the ends of an object or array, or a match.
+_REACHED_SQL = f"""SELECT json_type(text, p) AS type, count(*) AS n FROM ({_ORDER_SQL}), (VALUES ('/cust'), ('/cust/tags'), ('/cust/tags/1')) t(p) WHERE json_type(text, p) IS NOT NULL GROUP BY 1"""
+
+
+@_query(f"""{_TOKENS_SQL}, reached AS ({_REACHED_SQL}),
+ found AS (SELECT 'Enter' AS event, CASE type WHEN 'OBJECT' THEN 'ObjBegin' ELSE 'ArrBegin' END AS kind, n FROM reached WHERE type IN ('OBJECT', 'ARRAY')
+ UNION ALL SELECT 'Exit', CASE type WHEN 'OBJECT' THEN 'ObjEnd' ELSE 'ArrEnd' END, n FROM reached WHERE type IN ('OBJECT', 'ARRAY')
+ UNION ALL SELECT 'Match', CASE type WHEN 'VARCHAR' THEN 'Str' ELSE 'Num' END, n FROM reached WHERE type NOT IN ('OBJECT', 'ARRAY')),
+ rest AS (SELECT k.kind, k.n - coalesce(f.n, 0) AS n FROM (SELECT {_KIND_SQL} AS kind, count(*) AS n FROM toks GROUP BY 1) k LEFT JOIN (SELECT kind, sum(n) AS n FROM found GROUP BY 1) f USING (kind))
+SELECT event, kind, n FROM found UNION ALL SELECT 'Nil', kind, CAST(n AS BIGINT) FROM rest WHERE n > 0""")
 def pointer_event_counts(spark, sf_dir):
     return js.pointer_events(_orders(spark, sf_dir), ["/cust", "/cust/tags", "/cust/tags/1"], nil=True, columns=["event", "kind"]).groupBy("event", "kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -253,7 +262,10 @@ def pretty_print(spark, sf_dir):
     return js.pretty(_props(spark, sf_dir)).select("event_id", "pretty")
 
 
-@_query("SELECT o_orderkey AS id, i, literal FROM orders, (VALUES (0, '{'), (1, '\"a\"'), (2, ':'), (3, '['), (8, ']'), (9, '}'), (10, '')) t(i, literal)")
+@_query(f"""WITH toks AS (SELECT id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS t FROM (SELECT o_orderkey AS id, regexp_extract_all('{{"a":[' || o_custkey || ',[]]}}', {_RE2}) AS l FROM orders)),
+ levels AS (SELECT id, i, t, sum(CASE WHEN t IN ('{{', '[') THEN 1 WHEN t IN ('}}', ']') THEN -1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS level FROM toks),
+ ends AS (SELECT l.id, min(l.i) AS e FROM levels l JOIN levels b ON l.id = b.id AND b.i = 3 WHERE l.i > 3 AND l.level < b.level GROUP BY l.id)
+SELECT id, CAST(i AS INTEGER) AS i, t AS literal FROM levels JOIN ends USING (id) WHERE i <= 3 OR i >= e UNION ALL SELECT id, CAST(count(*) AS INTEGER), '' FROM toks GROUP BY id""")
 def skip_structure(spark, sf_dir):
     """What stands between the array's opening bracket (token 3) and its end is left out."""
     docs = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), _text('{"a":[', F.col("o_custkey"), ",[]]}").alias("text"))
