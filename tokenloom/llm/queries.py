@@ -45,30 +45,36 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per page, repeated ones too; null html is an empty payload, a null page_id a response of its own.  See `warc.write`."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.archived(pages, fresh_path(spark, "warc")).drop("url")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document, repeated ones too; null and wordless texts have fingerprint zero.  See `simhash.near_duplicates`."""
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document, repeated ones too; null text has no words and fails.  See `quality.assessed`."""
     return quality.figures(read_table(spark, sf_dir, "documents"))
 
 
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document, repeated ones too; null text is the end id alone, null doc_ids come first.  See `token_ids.write`."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_ids.written(docs, fresh_path(spark, "token-ids"), public_tokenizers.path("byte_bpe_50k.json"), END_ID).drop("file")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document, repeated ones too; null and empty texts have no tokens.  See `token_counts.model_counts`."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.model_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document, repeated ones too; null text has no words.  See `decontaminate.contamination`."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -82,16 +88,19 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document, repeated ones too; null text is empty.  See `secret_scan.findings`."""
     found = secret_scan.findings(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return secret_scan.digests(found).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per piece; repeated rows are packed each, null text is the end id alone.  See `packing.packed`."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document, repeated ones too; null text has no spans.  See `pii.personal_data`."""
     found = pii.personal_data(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     told = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     of_kind = lambda kind: lambda s: s["kind"] == kind

@@ -153,12 +153,12 @@ def _rows(batches: Iterable[pa.RecordBatch], path: str, make: Callable[[str], Ca
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_tokens) over whole texts.  Null and empty texts have none."""
+    """(doc_id, text) -> (doc_id, n_tokens) over whole texts.  Null and empty texts have none; repeated rows stay, no rows give none."""
     texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     return texts.mapInArrow(partial(_rows, path=path), "doc_id long, n_tokens long")
 
 
 def model_counts(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_tokens) as the SentencePiece tokenizer in path counts them.  Null and empty texts have none."""
+    """(doc_id, text) -> (doc_id, n_tokens) as the SentencePiece tokenizer in path counts them.  Null and empty texts have none; repeated rows stay, no rows give none."""
     texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     return texts.mapInArrow(partial(_rows, path=path, make=model_counter), "doc_id long, n_tokens long")
