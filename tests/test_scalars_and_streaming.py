@@ -93,3 +93,24 @@ def test_stream_with_chunks_out_of_order(spark, tmp_path):
     got = spark.sql("select * from tokens_out order by i").collect()
     assert "".join(r.literal for r in got) == TEXT.decode() and got[-1].kind == "Eof" and got[-1].text_no == 3
     assert not any(r.message for r in got)
+
+
+def test_streams_share_keys_of_the_state(spark, tmp_path):
+    """A state entry and a call for each stream took 5 ms a text; streams of a group stay apart across micro-batches."""
+    texts = {f"s{n}": [TEXT, b"[1,2", b'"a' + str(n).encode() + b'"', b'["\xff"]', b""][n % 5] for n in range(300)}
+    schema = "stream_id string, seq long, chunk binary, eof boolean"
+    rows = [(k, i, t[i * 6 : i * 6 + 6], i == len(t) // 6) for k, t in texts.items() for i in range(len(t) // 6 + 1)]
+    behind = [("s2", 1, b" 7", True), ("s4", 1, b"7", True), ("s1", 0, b"[1,2", True)]
+    for part in (rows[1::2], rows[::2] + rows[5:50], behind):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    parsed = parse_chunks(stream, columns=["i", "kind", "offset"], groups=7)
+    run = parsed.writeStream.format("memory").queryName("tokens_of_groups").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+    run.processAllAvailable()
+    kept = max(p.stateOperators[0].numRowsTotal for p in run.recentProgress if p.stateOperators)
+    run.stop()
+    assert kept == 7
+    got = {}
+    for r in spark.sql("select * from tokens_of_groups order by stream_id, i").collect():
+        got.setdefault(r.stream_id, []).append((r.i, r.kind, r.offset))
+    assert got == {k: [(r[1], r[2], r[4]) for r in fed([t])] for k, t in texts.items()}
