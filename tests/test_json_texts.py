@@ -299,3 +299,15 @@ def test_values_do_not_depend_on_the_batch(spark):
 def test_texts_are_lexed_once_and_nothing_is_shuffled(spark):
     plan = js.pointer_events(docs(spark, ["[]"]), ["/a"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("regexp_extract_all") == 1 and "Exchange" not in plan
+
+
+def test_member_counts(spark):
+    texts = ['{"a":1,"b":{"a":[{"a":2,"é":3},{"a":4}]},"a":5}', "[1,{}]", "", '{"c":1,"c":', '{"":{"":0}}', '{"a":1}', '{"a":1,"a":2}', "[", "{", None]
+    rows = spark.createDataFrame([(n // 2, t) for n, t in enumerate(texts)], "id int, text string")
+    got = js.member_counts(rows)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = [(0, "a", 1, 2), (0, "b", 1, 1), (0, "a", 2, 1), (0, "a", 4, 2), (0, "é", 4, 1), (1, "c", 1, 1), (2, "", 1, 1), (2, "", 2, 1), (2, "a", 1, 1), (3, "a", 1, 2)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    # an error ends a text: a byte that isn't UTF-8, and what leads too deep
+    odd = spark.createDataFrame([(1, b'{"\xff":1,"k":2,"k":[]}'), (2, b'{"k":[{"k":"\xc3\xa9"}]}')], "id int, text binary")
+    assert sorted(tuple(r) for r in js.member_counts(odd, max_level=2).collect()) == [(2, "k", 1, 1)]

@@ -43,3 +43,14 @@ def test_streams_of_null_and_empty_texts(spark, tmp_path):
     spark.createDataFrame([(1, '{"k": 1}'), (2, None), (3, ""), (4, "[1,"), (5, "12345678")], "event_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
     rows = {r.stream_id: tuple(r)[1:] for r in queries.queries()["streamed_chunks"](spark, str(tmp_path)).collect()}
     assert rows == {"1": (7, 0, 8), "2": (1, 1, 0), "3": (1, 1, 0), "4": (4, 1, 3), "5": (2, 0, 8)}
+
+
+def test_member_values_of_repeated_orders(spark, duck, tmp_path):
+    """Each text is counted by itself, as in the SQL, and nothing is grouped over a task's texts."""
+    o = spark.read.parquet(f"{SF}/orders.parquet").limit(20)
+    o.union(o.limit(3)).write.parquet(str(tmp_path / "orders.parquet"))
+    df = queries.queries()["member_values"](spark, str(tmp_path))
+    assert "Aggregate" not in df._jdf.queryExecution().executedPlan().toString()
+    sql = queries.oracle_sql()["member_values"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet' o")
+    want = sorted(tuple(map(plain, r)) for r in duck.execute(sql).fetchall())
+    assert len(want) == 115 and sorted(tuple(map(plain, (r.id, r.name, r.depth, r.n))) for r in df.collect()) == want

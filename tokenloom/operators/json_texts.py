@@ -319,6 +319,32 @@ def values(docs: DataFrame, text: str = "text", max_level: int = MAX_LEVEL, many
     return _run(docs, text, partial(_values, names=list(names)), names, max_level, many)
 
 
+_COUNTED = {"name": "string", "depth": "long", "n": "long"}
+
+
+def _member_counts(b: Batch) -> pa.RecordBatch:
+    t = b.tokens
+    stop, _ = t.stops()
+    at = np.flatnonzero(t.is_value & (t.index - t.first[t.doc] < stop[t.doc]) & (t.inside >= 0)) if t.n else t.index
+    at = at[t.kind[t.inside[at]] == KINDS.index("ObjBegin")]
+    if not len(at):
+        return b.rows(at, {n: _nulls(0, pa.string() if n == "name" else pa.int64()) for n in _COUNTED})
+    names = pc.utf8_slice_codeunits(_text(t, t.names_of(at)), 1, -1).dictionary_encode()
+    depth = t.before[at]
+    keys = (t.doc[at] * len(names.dictionary) + names.indices.to_numpy()) * (int(depth.max()) + 1) + depth
+    _, one, n = np.unique(keys, return_index=True, return_counts=True)
+    return b.rows(t.doc[at[one]], {"name": names.dictionary.take(names.indices.take(pa.array(one))), "depth": _ints(depth[one]), "n": _ints(n)})
+
+
+def member_counts(docs: DataFrame, text: str = "text", max_level: int = MAX_LEVEL, many: bool = False) -> DataFrame:
+    """A row per text, name (as written) and depth of its members: how many values so named it has there before its first error.
+
+    A text lies in one batch whole, so it is counted there: grouping the rows of `values` would hold the groups
+    of all texts of a task at once.  Texts whose other columns are alike are counted one by one.
+    """
+    return _run(docs, text, _member_counts, _COUNTED, max_level, many)
+
+
 def _hits(b: Batch, group: Group) -> tuple[Tokens, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     t = b.tokens
     stop, failed = t.stops()

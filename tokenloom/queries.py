@@ -274,8 +274,8 @@ def skip_structure(spark, sf_dir):
 
 @_query(f"SELECT id, name, depth, n FROM (SELECT id, unnest(['key', 'cust', 'id', 'tags', 'a\\u002fb']) AS name, unnest([1, 1, 2, 2, 1]) AS depth, unnest([2, 1, 1, 1, 1]) AS n FROM ({_ORDER_SQL}))")
 def member_values(spark, sf_dir):
-    rows = js.values(_orders(spark, sf_dir), columns=["name", "depth"]).where("name is not null")
-    return rows.groupBy("id", "name", F.col("depth").cast("int").alias("depth")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    rows = js.member_counts(_orders(spark, sf_dir))
+    return rows.select("id", "name", F.col("depth").cast("int").alias("depth"), F.col("n").cast("int").alias("n"))
 
 
 _POINTERS_SQL = "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN '/a~1' || o_custkey WHEN 2 THEN 'a' || o_custkey WHEN 3 THEN '/~0~2' ELSE '/' || o_custkey || '//~01' END AS p FROM orders"
