@@ -311,3 +311,9 @@ def test_member_counts(spark):
     # an error ends a text: a byte that isn't UTF-8, and what leads too deep
     odd = spark.createDataFrame([(1, b'{"\xff":1,"k":2,"k":[]}'), (2, b'{"k":[{"k":"\xc3\xa9"}]}')], "id int, text binary")
     assert sorted(tuple(r) for r in js.member_counts(odd, max_level=2).collect()) == [(2, "k", 1, 1)]
+
+
+def test_picked(spark):
+    texts = ['{"a":1,"b":[true,{"c":"é"}]}', '{"b":[],"a":[1 ,2],"a":3}', "[]", "", '{"a":"x","b":[1,', None]
+    got = js.picked(docs(spark, texts), ["/b/0", "/a", "/b/1/c"])
+    assert {r.doc_id: r.picked for r in got.collect()} == {0: ["true", "1", '"é"'], 1: [None, "[1 ,2]", None], 2: [None] * 3, 3: [None] * 3, 4: ["1", '"x"', None]}

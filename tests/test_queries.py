@@ -54,3 +54,15 @@ def test_member_values_of_repeated_orders(spark, duck, tmp_path):
     sql = queries.oracle_sql()["member_values"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet' o")
     want = sorted(tuple(map(plain, r)) for r in duck.execute(sql).fetchall())
     assert len(want) == 115 and sorted(tuple(map(plain, (r.id, r.name, r.depth, r.n))) for r in df.collect()) == want
+
+
+@pytest.mark.parametrize(("name", "table"), [("pointer_array_index", "orders"), ("jsonl_split", "events"), ("json_sequence_files", "events"), ("whole_files", "events")])
+def test_values_side_by_side_of_repeated_rows(spark, duck, tmp_path, name, table):
+    """A row per text, as in the SQL, without grouping by text."""
+    rows = spark.read.parquet(f"{SF}/{table}.parquet").limit(20)
+    rows.union(rows.limit(3)).write.parquet(str(tmp_path / f"{table}.parquet"))
+    df = queries.queries()[name](spark, str(tmp_path))
+    result = duck.execute(queries.oracle_sql()[name].replace(f"FROM {table}", f"FROM '{tmp_path}/{table}.parquet/*.parquet' o"))
+    columns = [d[0] for d in result.description]
+    want = sorted(tuple(map(plain, r)) for r in result.fetchall())
+    assert len(want) == 23 and sorted(tuple(plain(r[c]) for c in columns) for r in df.collect()) == want

@@ -404,28 +404,29 @@ def _spans(t: Tokens, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _EXTRACTED = {"i": "long", "text_no": "long", "pointer": "string", "kind": "string", "value": "string"}
 
 
+def _cut(t: Tokens, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Values lie in the batch's bytes as they are: bounds of every other piece cut them out."""
+    if not len(begins):
+        return _nulls(0, pa.string())
+    single = begins == ends
+    out = t.literals.take(pa.array(begins)).cast(pa.binary())
+    if single.all():
+        return out.cast(pa.string())
+    wide = [t.data[t.edge[a] : t.edge[z + 1]].tobytes() for a, z in zip(begins[~single].tolist(), ends[~single].tolist(), strict=True)]
+    return pc.replace_with_mask(out, pa.array(~single), pa.array(wide, pa.binary())).cast(pa.string())
+
+
 def _extracted(b: Batch, group: Group, names: list[str]) -> pa.RecordBatch:
     t, state, hit, _, _ = _hits(b, group)
     begins, ends = _spans(t, hit)
     none = not len(begins)
 
-    def texts() -> pa.Array:
-        """Values lie in the batch's bytes as they are: bounds of every other piece cut them out."""
-        if none:
-            return _nulls(0, pa.string())
-        single = begins == ends
-        out = t.literals.take(pa.array(begins)).cast(pa.binary())
-        if single.all():
-            return out.cast(pa.string())
-        wide = [t.data[t.edge[a] : t.edge[z + 1]].tobytes() for a, z in zip(begins[~single].tolist(), ends[~single].tolist(), strict=True)]
-        return pc.replace_with_mask(out, pa.array(~single), pa.array(wide, pa.binary())).cast(pa.string())
-
     columns = {
         "i": lambda: _ints(begins if none else begins - t.first[t.doc[begins]]),
         "text_no": lambda: _ints(begins if none else t.text_no[begins]),
         "pointer": lambda: pa.array(group.pointer_at, pa.string()).take(pa.array(state[begins])),
         "kind": lambda: _names(t.kind[begins], KINDS),
-        "value": texts,
+        "value": lambda: _cut(t, begins, ends),
     }
     return b.rows(t.doc[begins], {n: columns[n]() for n in names})
 
@@ -437,6 +438,26 @@ def extract(docs: DataFrame, pointers: list[str] | Group, text: str = "text", ma
     return _run(docs, text, partial(_extracted, group=group, names=list(names)), names, max_level, many)
 
 
+def _picked(b: Batch, group: Group, pointers: list[str]) -> pa.RecordBatch:
+    t, state, hit, _, _ = _hits(b, group)
+    begins, ends = _spans(t, hit)
+    n, k = len(t.counts), len(pointers)
+    place = np.array([pointers.index(p) if p is not None else -1 for p in group.pointer_at])
+    slots, one = np.unique(t.doc[begins] * k + place[state[begins]], return_index=True)  # the first of each
+    where = np.full(n * k, -1)
+    where[slots] = one
+    found = _cut(t, begins, ends).take(pa.array(where, mask=where < 0))
+    return b.rows(np.arange(n), {"picked": pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k), pa.int32()), found)})
+
+
+def picked(docs: DataFrame, pointers: list[str], text: str = "text", max_level: int = MAX_LEVEL, many: bool = False, **group) -> DataFrame:
+    """A row per text: picked, an array of the first value that each of pointers reaches there, in their order (null: none).
+
+    For texts whose values are wanted side by side: nothing needs to be grouped by text again.
+    """
+    return _run(docs, text, partial(_picked, group=Group(pointers, **group), pointers=list(pointers)), {"picked": "array<string>"}, max_level, many)
+
+
 def _redacted(b: Batch, group: Group, mask: str) -> pa.RecordBatch:
     t, _, hit, _, failed = _hits(b, group)
     begins, ends = _spans(t, hit)

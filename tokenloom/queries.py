@@ -135,9 +135,9 @@ def pointer_match_int(spark, sf_dir):
 
 @_query(f"SELECT id, json_extract_string(text, '/cust/tags/0') AS tag, CAST(json_extract_string(text, '/cust/tags/1') AS BIGINT) AS n FROM ({_ORDER_SQL})")
 def pointer_array_index(spark, sf_dir):
-    found = js.extract(_orders(spark, sf_dir), ["/cust/tags/0", "/cust/tags/1"])
-    unquoted = F.regexp_replace("value", '^"|"$', "")
-    return found.groupBy("id").agg(F.max(F.when(F.col("pointer") == "/cust/tags/0", unquoted)).alias("tag"), F.max(F.when(F.col("pointer") == "/cust/tags/1", F.col("value").cast("long"))).alias("n"))
+    tag, n = (F.col("picked")[i] for i in range(2))
+    found = js.picked(_orders(spark, sf_dir), ["/cust/tags/0", "/cust/tags/1"])
+    return found.select("id", F.regexp_replace(tag, '^"|"$', "").alias("tag"), n.cast("long").alias("n"))
 
 
 @_query(f"SELECT id, '/cust/id' AS pointer, json_extract_string(text, '/cust/id') AS value FROM ({_ORDER_SQL}) UNION ALL SELECT id, '/cust/tags', CAST(json_extract(text, '/cust/tags') AS VARCHAR) FROM ({_ORDER_SQL})")
@@ -309,11 +309,9 @@ def _lines(spark, sf_dir) -> DataFrame:
 
 def _lines_read(texts: DataFrame) -> DataFrame:
     """Id, type and props of each text."""
-    texts = texts.select("text", F.col("text").alias("whole"))
-    found = js.extract(texts, ["/id", "/type", "/props"], columns=["pointer", "value"])
-    at = lambda p: F.max(F.when(F.col("pointer") == p, F.col("value")))
-    rows = found.groupBy("whole").agg(at("/id").cast("long").alias("event_id"), F.replace(at("/type"), F.lit('"'), F.lit("")).alias("event_type"), at("/props").alias("value"))
-    return rows.drop("whole")
+    key, kind, props = (F.col("picked")[i] for i in range(3))
+    found = js.picked(texts, ["/id", "/type", "/props"])
+    return found.select(key.cast("long").alias("event_id"), F.replace(kind, F.lit('"'), F.lit("")).alias("event_type"), props.alias("value"))
 
 
 @_query(_LINES_SQL)
