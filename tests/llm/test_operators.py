@@ -603,6 +603,21 @@ def test_packing_repeated_rows(spark):
     assert sorted(r.offset for r in rows) in ([0, 2, 5, 8], [0, 3, 5, 8], [0, 3, 6, 8], [0, 3, 6, 9])
 
 
+def test_packing_beyond_2_to_the_31_tokens(spark):
+    sizes = [2**31 + 5, 100, 4000, 77, 3 * 2**31]
+    rows = packing.plan(spark.createDataFrame(list(enumerate(sizes)), "uid long, n long"), buckets=2).collect()
+    spans = []  # as token numbers over all sequences
+    for r in rows:
+        whole, left = divmod(sizes[r.uid], 4096)
+        own = [(r.whole_seq * 4096, whole * 4096), ((r.seq or 0) * 4096 + r.offset, r.taken), (r.rest_at, left - r.taken)]
+        spans += [(at, size) for at, size in own if size]
+    at = 0
+    for start, size in sorted(spans):
+        assert start == at
+        at += size
+    assert at == sum(sizes)
+
+
 def test_least_squares_uses_combinations_that_fill():
     combos = packing.combinations(64)
     assert all(sum(c) == 64 and min(c) >= 1 for c in combos) and len(set(combos)) == len(combos)

@@ -147,7 +147,7 @@ def plan(lengths: DataFrame, length: int = LENGTH, grain: int = GRAIN, buckets:
     df = _before(df, [], F.col("left") - F.col("taken"), "rest_at")
     n_whole = df.agg(F.coalesce(F.sum("whole"), F.lit(0))).first()[0]
     wholes = F.lit(first) + F.col("whole_seq")
-    rests = (F.lit(first) + F.lit(n_whole)) * length + F.col("rest_at")
+    rests = F.lit((first + n_whole) * length).cast("long") + F.col("rest_at")  # multiplied here: Spark takes small numbers for ints, and 2^31 tokens overflow
     return df.select("uid", wholes.alias("whole_seq"), "seq", "offset", "taken", rests.alias("rest_at"))
 
 
